@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.common import LOWER, UPPER, table
 from attesta.llm.exact_dedup import exact_dedup
+from attesta.llm.ivf_pq import search
+from attesta.llm.license_scan import scan_licenses
 from attesta.llm.merge_dropout import encode_pieces
 from attesta.llm.mixing import mix
+from attesta.llm.quality import score_quality
 from attesta.llm.token_file import token_digest
+from attesta.llm.toxicity import score_toxicity, train
 from attesta.llm.url_rules import Rule, filter_urls
 
 TOKENIZERS = os.environ.get("ATTESTA_TOKENIZERS", "/opt/tokenizers")
@@ -20,6 +24,18 @@ RULES = [
 ]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"))
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -28,6 +44,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -40,7 +61,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op4_url_rules, op5_exact_dedup, op8_source_mix, op9_token_file, op10_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ivf_pq, op3_quality, op4_url_rules, op5_exact_dedup, op6_toxicity, op8_source_mix, op9_token_file, op10_merge_dropout)}
 
 _RULES_SQL = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in RULES)
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
