@@ -12,6 +12,7 @@ from attesta.llm.ivf_pq import search
 from attesta.llm.license_scan import scan_licenses
 from attesta.llm.merge_dropout import encode_pieces
 from attesta.llm.mixing import mix
+from attesta.llm.ngram_join import ngram_join
 from attesta.llm.quality import score_quality
 from attesta.llm.token_file import token_digest
 from attesta.llm.toxicity import score_toxicity, train
@@ -49,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ivf_pq, op3_quality, op4_url_rules, op5_exact_dedup, op6_toxicity, op8_source_mix, op9_token_file, op10_merge_dropout)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ivf_pq, op3_quality, op4_url_rules, op5_exact_dedup, op6_toxicity, op7_ngram_join, op8_source_mix, op9_token_file, op10_merge_dropout)}
 
 _RULES_SQL = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in RULES)
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
