@@ -6,12 +6,16 @@ Every document picks its own l: a longer prefix scans more postings, but asks fo
 verifies fewer candidates; the l with the least estimated cost wins. Two documents are candidates when they share
 min(l, l') prefix shingles, which loses no pair. Candidates are verified on their whole sets.
 
+Of a pair the smaller set must share 8/9 of itself, so only its shorter prefix takes part, and pairs whose last common
+prefix token stands too late in either set go before verification.
+
 Frequencies are counted over all documents in a sketch of fixed size (2^SKETCH_BITS counters), whose errors change
 the order and so the cost, never the result.
 
-Large groups are never expanded into pairs: documents with equal sets are one node; in each posting list every
-node is first paired with the list's smallest node, verified and joined into components; then only pairs of nodes
-that are still in different components are candidates, in full. Components are found by alternating large-star and
+Large groups are never expanded into pairs: documents with equal sets are one node; every node is first paired with
+one hub, the smallest node of the posting lists that they share, verified and joined into components (twice, the
+second time with hubs of other components); then only pairs of nodes that are still in different components are
+candidates, in full. Components are found by alternating large-star and
 small-star steps over tables in the shared folder.
 
 Edge cases: texts without words (or null) have no shingles and link with nothing; texts of fewer than 5 words have
@@ -37,6 +41,8 @@ from attesta.llm.common import LOWER, UPPER, saved, small_batches
 WORDS, PERCENT, SKETCH_BITS, BLOCK_BITS, MOST_MATCHES = 5, 80, 21, 15, 4
 #: Cost of verifying a candidate, in scanned postings.
 VERIFY = 8
+#: Rounds of stars before all remaining candidates.
+STARS = 2
 #: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -157,12 +163,9 @@ def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole sets, which are made anew from the texts."""
-    pairs = saved(pairs, f"{label}-pairs")
-    nodes = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-nodes")
-    sets = saved(sets_of(with_ids(rows, nodes)), f"{label}-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by their whole sets."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * PERCENT).select("a", "b")
 
@@ -200,22 +203,43 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # equal sets are one node, the smallest of their ids
     groups = full.groupBy("key").agg(F.min("doc_id").alias("node"))
     firsts = full.join(groups.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    posts = firsts.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"), "n", "l")
+    posts = firsts.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "l")
     of_token = Window.partitionBy("token")
     posts = posts.withColumn("hub", F.min(F.struct("node", "n", "l")).over(of_token)).withColumn("c", F.count(F.lit(1)).over(of_token))
-    posts = saved(posts.where("c > 1").select("token", "node", "n", "l", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")), "ngram-posts")
-    # every node with the smallest node of its lists
-    stars = posts.where("node <> hub").where(similar_sizes("n", "hub_n")).groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("l", "hub_l")).alias("need"))
-    links = saved(verified(stars.where("c >= need").select("a", "b"), known, "ngram-stars"), "ngram-links")
-    roots = components(links)
+    posts = saved(posts.where("c > 1").select("token", "pos", "node", "n", "l", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")), "ngram-posts")
+    fits = similar_sizes("n", "hub_n")
+    # the sets of all nodes that share a list with a node of similar size, made anew from the texts
+    lone = Window.partitionBy("token").orderBy("n")
+    near = F.coalesce(similar_sizes("n", "before"), F.lit(False)) | F.coalesce(similar_sizes("n", "after"), F.lit(False))
+    active = posts.withColumn("before", F.lag("n").over(lone)).withColumn("after", F.lead("n").over(lone)).where(near)
+    sets = saved(sets_of(with_ids(known, saved(active.select("node").distinct(), "ngram-active"))), "ngram-sets")
+    # stars: every node with that smallest node of its lists, still in another component, which it shares most lists with
+    roots, links = None, None
+    for turn in range(STARS):
+        here = posts.where("node <> hub").where(fits)
+        if roots is not None:
+            at = roots.withColumnRenamed("node", "x")
+            here = here.join(at.select(F.col("x").alias("node"), F.col("root").alias("rn")), "node", "left").join(at.select(F.col("x").alias("hub"), F.col("root").alias("rh")), "hub", "left")
+            here = here.where(F.coalesce("rn", "node") != F.coalesce("rh", "hub"))
+        stars = here.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("l", "hub_l")).alias("need")).where("c >= need")
+        best = stars.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("x"))
+        found = verified(saved(best.select((-F.col("x.h")).alias("a"), "b"), f"ngram-star{turn}"), sets)
+        links = saved(found if links is None else links.unionByName(found), f"ngram-links{turn}")
+        roots = components(links)
     # all candidates in different components
-    lists = posts.select("token", "node", "n", "l").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = posts.select("token", "pos", "node", "n", "l").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lists = lists.withColumn("mixed", F.min("root").over(of_token) != F.max("root").over(of_token))
     lists = saved(lists.where("mixed").drop("mixed"), "ngram-lists")
-    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "l", "root"))) for x in "ab")
-    cross = one.join(two, "token").where("node_a < node_b and root_a <> root_b").where(similar_sizes("n_a", "n_b"))
-    cross = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("l_a", "l_b")).alias("need"))
-    more = saved(verified(cross.where("c >= need").select("a", "b"), known, "ngram-cross"), "ngram-more")
+    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "node", "n", "l", "root"))) for x in "ab")
+    # a is the smaller set: with a partner of its size or more it must share 8/9 of itself, so its prefix is shorter
+    short = one.where("pos_a < n_a - floor((8 * n_a + 8) / 9) + l_a")
+    cross = short.join(two, "token").where("(n_a < n_b or n_a = n_b and node_a < node_b) and root_a <> root_b").where(similar_sizes("n_a", "n_b"))
+    cross = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.least("l_a", "l_b")).alias("need"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
+    # what they can share beyond the last common prefix token
+    most = F.col("c") + F.least(F.col("n_a") - 1 - F.col("at_a"), F.col("n_b") - 1 - F.col("at_b"))
+    cross = cross.where("c >= need").where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
+    more = saved(verified(saved(cross.select("a", "b"), "ngram-cross"), sets), "ngram-more")
     # components of components
     at = roots.withColumnRenamed("node", "x")
     lifted = more.join(at.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a", "left").join(at.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b", "left")
