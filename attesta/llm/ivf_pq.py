@@ -12,7 +12,7 @@ brute force is above 0.9 on vectors without any cluster structure (tests and REA
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part; fewer candidates than k are all returned once every list is probed (`probe` is 1 for up to 5,000 vectors);
-ties go to the smaller id; repeated ids are separate rows; an empty table gives an empty result.
+ties go to the smaller id; rows that repeat a query's id are one query of the first k of all their results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import saved
@@ -104,44 +104,50 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, p
     shared = spark.sparkContext.broadcast(books)  # of fixed size
     fits = usual.where(F.size("v") == dim)
 
-    def pack(batches) -> Iterator[pd.DataFrame]:
-        """Rows of up to BLOCK vectors of one list."""
-        books, held, sizes = shared.value, {}, {}
-
-        def row(at: int) -> list:
-            ids, codes, x = (np.concatenate(z) for z in zip(*held.pop(at), strict=True))
-            sizes.pop(at)
-            return [at, ids.tobytes(), codes.tobytes(), x.tobytes()]
-
+    def encode(batches) -> Iterator[pd.DataFrame]:
+        """List and code of every vector."""
+        books = shared.value
         for p in batches:
-            x, ids = np.stack(p.v.to_numpy()) if len(p) else np.zeros((0, dim)), p.vec_id.to_numpy()
-            where, codes = books.encode(x)
-            order = np.argsort(where, kind="stable")
-            full = []
-            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                for i in range(0, len(part), BLOCK):
-                    piece, at = part[i : i + BLOCK], int(where[part[0]])
-                    if sizes.get(at, 0) + len(piece) > BLOCK:
-                        full.append(row(at))
-                    held.setdefault(at, []).append((ids[piece], codes[piece], x[piece]))
-                    sizes[at] = sizes.get(at, 0) + len(piece)
-            yield pd.DataFrame(full, columns=["list", "ids", "codes", "x"])
-        yield pd.DataFrame([row(at) for at in list(held)], columns=["list", "ids", "codes", "x"])
+            if len(p):
+                x = np.stack(p.v.to_numpy())
+                at, codes = books.encode(x)
+                yield pd.DataFrame({"list": at.astype(np.int32), "vec_id": p.vec_id, "code": [c.tobytes() for c in codes], "x": [r.tobytes() for r in x]})
 
     def ask(batches) -> Iterator[pd.DataFrame]:
-        """Rows of up to QUERIES queries, one for each list that they probe."""
+        """A row for each list that a query probes."""
         books = shared.value
         n = max(1, int(np.ceil(share * len(books.coarse))))
         for p in batches:
-            x, ids = np.stack(p.v.to_numpy()) if len(p) else np.zeros((0, dim)), p.vec_id.to_numpy()
-            near = np.argpartition(-(x @ books.coarse.T), n - 1, 1)[:, :n]
-            rows = []
-            for at in np.unique(near).tolist():
-                mine = np.flatnonzero((near == at).any(1))
-                for i in range(0, len(mine), QUERIES):
-                    part = mine[i : i + QUERIES]
-                    rows.append([at, ids[part].tobytes(), x[part].tobytes()])
-            yield pd.DataFrame(rows, columns=["list", "q_ids", "q"])
+            if len(p):
+                x = np.stack(p.v.to_numpy())
+                near = np.argpartition(-(x @ books.coarse.T), n - 1, 1)[:, :n]
+                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "vec_id": np.repeat(p.vec_id.to_numpy(), n), "x": [r for v in x for r in [v.tobytes()] * n]})
+
+    def packed(rows: DataFrame, columns: list[str], most: int, label: str) -> DataFrame:
+        """Rows of about `most` vectors of one list: as many blocks as each list's size asks for, dealt by hash."""
+        rows = saved(rows, f"{label}-rows")
+        blocks = {r["list"]: -(-r["count"] // most) for r in rows.groupBy("list").count().collect()}  # a row per list
+        of_list = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(-1), F.lit(1))
+        keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(of_list, F.col("list")))).repartition("list", "block").sortWithinPartitions("list", "block")
+
+        def pack(batches) -> Iterator[pd.DataFrame]:
+            held, at, n = [], None, 0
+
+            def row() -> list:
+                return [at[0], *(b"".join(h[c] for h in held) for c in columns)]
+
+            for p in batches:
+                for (lst, block), g in p.groupby(["list", "block"]):
+                    if held and ((lst, block) != at or n + len(g) > 2 * most):
+                        yield pd.DataFrame([row()], columns=["list", *columns])
+                        held, n = [], 0
+                    at = (int(lst), int(block))
+                    held.append({"ids": g.vec_id.to_numpy(np.int64).tobytes()} | {c: b"".join(g[c]) for c in columns if c != "ids"})
+                    n += len(g)
+            if held:
+                yield pd.DataFrame([row()], columns=["list", *columns])
+
+        return saved(keyed.mapInPandas(pack, "list int, " + ", ".join(f"{c} binary" for c in columns)), label)
 
     def work(batches) -> Iterator[pd.DataFrame]:
         books = shared.value
@@ -149,16 +155,20 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, p
             for r in p.itertuples(index=False):
                 ids, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.x, np.float64).reshape(-1, dim)
                 q_ids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q, np.float64).reshape(-1, dim)
-                found, score = search_unit(books, r.list, ids, np.frombuffer(r.codes, np.uint8).reshape(-1, PARTS), x, q_ids, q, k, rerank)
-                ok = score > -np.inf
-                yield pd.DataFrame({"query_id": np.repeat(q_ids, found.shape[1])[ok.ravel()], "vec_id": found[ok], "score": score[ok]})
-
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(conf, str(max(2048, int(spark.conf.get(conf)))))
-    deal = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = saved(fits.repartition(deal).mapInPandas(pack, "list int, ids binary, codes binary, x binary"), "ivf-index")
-    asked = saved(fits.where(F.pmod("vec_id", F.lit(every)) == 0).repartition(max(1, deal // 4)).mapInPandas(ask, "list int, q_ids binary, q binary"), "ivf-queries")
-    units = index.join(asked, "list").repartition(deal * 2)
-    best = units.mapInPandas(work, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+                found, score = search_unit(books, r.list, ids, np.frombuffer(r.code, np.uint8).reshape(-1, PARTS), x, q_ids, q, k, rerank)
+                yield pd.DataFrame({"query_id": q_ids, "found": [f.tobytes() for f in found], "scores": [s.tobytes() for s in score]})
+
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        """The k best of one query's units, at most one unit for each block of its lists."""
+        found, score = np.frombuffer(b"".join(g.found), np.int64), np.frombuffer(b"".join(g.scores), np.float64)
+        order = np.lexsort((found, -score))
+        order = order[score[order] > -np.inf][:k]
+        return pd.DataFrame({"query_id": g.query_id.iloc[0], "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": found[order], "score": score[order]})
+
+    index = packed(fits.mapInPandas(encode, "list int, vec_id long, code binary, x binary"), ["ids", "code", "x"], BLOCK, "ivf-index")
+    queries = fits.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(ask, "list int, vec_id long, x binary")
+    asked = packed(queries, ["ids", "x"], QUERIES, "ivf-queries").select("list", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    small = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    units = index.join(asked, "list").repartition(2 * small)
+    best = units.mapInPandas(work, "query_id long, found binary, scores binary")
+    return best.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
