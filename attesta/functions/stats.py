@@ -1,0 +1,90 @@
+"""Interval and effect-size expressions. Each function returns SQL text for F.expr, in terms of its arguments' texts."""
+
+from __future__ import annotations
+
+Z95 = 1.959963984540054
+
+
+def wilson_point(k: str, n: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN 0e0 ELSE CAST({k} AS DOUBLE) / {n} END)"
+
+
+def wilson_low(k: str, n: str, z: float = Z95) -> str:
+    """Lower Wilson score limit; 0 without trials or successes."""
+    return f"(CASE WHEN {n} = 0 OR {k} = 0 THEN 0e0 ELSE greatest(0e0, ({_centre(k, n, z)} - {_half(k, n, z)}) / (1 + {z * z}e0 / {n})) END)"
+
+
+def wilson_high(k: str, n: str, z: float = Z95) -> str:
+    """Upper Wilson score limit; 1 without trials or failures."""
+    return f"(CASE WHEN {n} = 0 OR {k} = {n} THEN 1e0 ELSE least(1e0, ({_centre(k, n, z)} + {_half(k, n, z)}) / (1 + {z * z}e0 / {n})) END)"
+
+
+def _centre(k: str, n: str, z: float) -> str:
+    return f"(CAST({k} AS DOUBLE) / {n} + {z * z / 2}e0 / {n})"
+
+
+def _half(k: str, n: str, z: float) -> str:
+    p = f"(CAST({k} AS DOUBLE) / {n})"
+    return f"({z}e0 * sqrt({p} * (1 - {p}) / {n} + {z * z / 4}e0 / (CAST({n} AS DOUBLE) * {n})))"
+
+
+def youden(tp: str, fn: str, tn: str, fp: str) -> str:
+    """Sensitivity + specificity - 1; 0 where a class is empty."""
+    return f"(CASE WHEN {tp} + {fn} = 0 OR {tn} + {fp} = 0 THEN 0e0 ELSE CAST({tp} AS DOUBLE) / ({tp} + {fn}) + CAST({tn} AS DOUBLE) / ({tn} + {fp}) - 1 END)"
+
+
+def balanced_accuracy(tp: str, fn: str, tn: str, fp: str) -> str:
+    return f"(CASE WHEN {tp} + {fn} = 0 OR {tn} + {fp} = 0 THEN 0e0 ELSE (CAST({tp} AS DOUBLE) / ({tp} + {fn}) + CAST({tn} AS DOUBLE) / ({tn} + {fp})) / 2 END)"
+
+
+def youden_limits(tp: str, fn: str, tn: str, fp: str) -> tuple[str, str]:
+    """Square-and-add limits of Youden's index from the two Wilson intervals, within [-1, 1]."""
+    p, q = f"({tp} + {fn})", f"({tn} + {fp})"
+    a, b = wilson_point(tp, p), wilson_point(tn, q)
+    down = f"sqrt(power({a} - {wilson_low(tp, p)}, 2) + power({b} - {wilson_low(tn, q)}, 2))"
+    up = f"sqrt(power({wilson_high(tp, p)} - {a}, 2) + power({wilson_high(tn, q)} - {b}, 2))"
+    return f"(greatest(0e0, {a} + {b} - {down}) - 1)", f"(least(2e0, {a} + {b} + {up}) - 1)"
+
+
+def measures(tp: str = "tp", fn: str = "fn", tn: str = "tn", fp: str = "fp", digits: int = 6) -> dict[str, str]:
+    """Named, rounded measures of one confusion."""
+    low, high = youden_limits(tp, fn, tn, fp)
+    p, q = f"({tp} + {fn})", f"({tn} + {fp})"
+    total = f"({tp} + {fn} + {tn} + {fp})"
+    found = {
+        "sensitivity": wilson_point(tp, p), "sensitivity_low": wilson_low(tp, p), "sensitivity_high": wilson_high(tp, p),
+        "specificity": wilson_point(tn, q), "specificity_low": wilson_low(tn, q), "specificity_high": wilson_high(tn, q),
+        "flag_rate": wilson_point(f"({tp} + {fp})", total), "balanced_accuracy": balanced_accuracy(tp, fn, tn, fp),
+        "ba_low": f"(({low}) + 1) / 2", "ba_high": f"(({high}) + 1) / 2", "youden_j": youden(tp, fn, tn, fp), "j_low": low, "j_high": high,
+    }
+    return {k: f"round({v}, {digits})" for k, v in found.items()}
+
+
+def mcnemar_odds(b: str, c: str) -> str:
+    """Odds ratio of discordant pairs, null where it is unbounded."""
+    return f"(CASE WHEN {c} = 0 THEN NULL ELSE CAST({b} AS DOUBLE) / {c} END)"
+
+
+def mcnemar_p(b: str, c: str) -> str:
+    """Two-sided exact binomial probability of b and c discordant pairs (Spark text: it folds over a sequence)."""
+    tail = f"aggregate(sequence(1, greatest(least({b}, {c}), 1)), named_struct('t', 1e0, 's', 1e0), (a, i) -> named_struct('t', a.t * ({b} + {c} - i + 1) / i, 's', a.s + IF(i <= least({b}, {c}), a.t * ({b} + {c} - i + 1) / i, 0e0)), a -> ln(a.s) - ({b} + {c}) * ln(2e0))"
+    return f"(CASE WHEN {b} + {c} = 0 THEN 1e0 WHEN {b} = {c} THEN 1e0 ELSE least(1e0, 2 * exp({tail})) END)"
+
+
+def min_discordant(alpha: float) -> int:
+    """The fewest discordant pairs, all one way, that are significant."""
+    k = 1
+    while 2 * 0.5**k >= alpha:
+        k += 1
+    return k
+
+
+def phase2_size(rates: list[float], shares: list[float], existing: float, target: float) -> int:
+    import math
+
+    yield_ = sum(r * s for r, s in zip(rates, shares, strict=True))
+    return max(0, math.ceil((target - existing) / yield_ - 1e-9))
+
+
+def precision_bound(cells: dict[str, int], upper: dict[str, float], flagged: int) -> float:
+    return min(1.0, sum(n * upper[c] for c, n in cells.items()) / flagged)

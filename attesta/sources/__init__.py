@@ -1 +1,58 @@
+"""Readers with declared schemas, and sinks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+RECORD = "osm_type string, osm_id bigint, city string, country string, language string, maturity string, lat double, lon double, name string, tags map<string,string>, pos bigint"
+PLACE_CSV = "source string, place_id string, name string, alternate_names string, lat string, lon string, country string, feature_code string, population string"
+ANSWER = "run string, model string, item_id string, task string, prompt_version int, view string, parsed struct<verdict:string,field:string>, valid boolean, prompt_tokens bigint, output_tokens bigint, total_sec double"
+LABEL_EVENT = "kind string, run string, annotator string, item_id string, position int, label string, evidence_source string, evidence_url string, no_source boolean, note string, seconds_on_item double, labelled_at string"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of records; a table partitioned by city is pruned by filters on it."""
+    return spark.read.schema(RECORD).json(path)
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """Gazetteer CSV: folded, distinct, non-empty names; a population that is not a number is 0."""
+    from attesta.functions.records import fold
+
+    raw = spark.read.schema(PLACE_CSV).csv(path, header=True)
+    each = raw.select("place_id", "source", F.explode(F.array_distinct(F.concat(F.array("name"), F.split(F.coalesce("alternate_names", F.lit("")), ",")))).alias("n")).withColumn("n", fold("n")).where("n <> ''")
+    names = each.groupBy("source", "place_id").agg(F.collect_set("n").alias("names"))
+    population = F.when(F.col("population").rlike("^[0-9]+$"), F.col("population").try_cast("bigint")).otherwise(0)
+    return raw.select("source", "place_id", F.col("name").alias("display_name"), F.col("lat").cast("double").alias("p_lat"), F.col("lon").cast("double").alias("p_lon"), "country", F.coalesce(population, F.lit(0)).alias("population")).join(names, ["source", "place_id"], "left")
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answer files of all runs and models; broken lines are dropped."""
+    return spark.read.schema(ANSWER).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).csv(path, sep="\t", quote="")
+
+
+def write_by_city(records: DataFrame, path: str) -> None:
+    records.repartition("city").sortWithinPartitions("osm_type", "osm_id").write.partitionBy("city").json(path)
+
+
+def union_tables(*tables: DataFrame) -> DataFrame:
+    """Union with missing columns as null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def call_in_batches(rows: DataFrame, client, schema: str) -> DataFrame:
+    """Rows through an external client, a batch of rows at a time: client(pandas frame) -> pandas frame."""
+
+    def run(batches):
+        for b in batches:
+            yield client(b)
+
+    return rows.mapInPandas(run, schema)

@@ -1 +1,20 @@
+"""Event logs as streams: the last action of each key as keyed state with a checkpoint."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def last_action_stream(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """A streaming frame of the last event of each key (complete or update mode)."""
+    rest = [c for c in events.columns if c not in (key, *order)]
+    return events.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("m"))
+
+
+def run_once(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
+    """Drives a stream over all that is available into a memory table and returns it."""
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
