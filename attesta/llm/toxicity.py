@@ -38,8 +38,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_parts(words: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: its bucket, the buckets of its n-grams (one after another) and their number."""
+    parts = [_word_parts(words[k : k + block]) for k in range(0, max(1, len(words)), block)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [f"^{w.lower().strip(MARKS)}$".encode() for w in words]
     bucket = np.array([zlib.crc32(r) >> (32 - WORD_BITS) for r in raw], np.int64)
     lens = np.array([len(r) for r in raw], np.int64)
@@ -58,7 +63,7 @@ def word_parts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owners.append(owner[ok])
     at = np.concatenate(owners)
     order = np.argsort(at, kind="stable")
-    return bucket, np.concatenate(found)[order].astype(np.int64), np.bincount(at, minlength=len(raw))
+    return bucket, np.concatenate(found)[order].astype(np.int32), np.bincount(at, minlength=len(raw))
 
 
 def windows_of(n: int) -> list[int]:
@@ -84,10 +89,14 @@ class Net:
         self.scale = np.array([1.0, 0.0])
 
     def vectors(self, bucket: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(self.grams[grams], 0, dtype=np.float64)])
-        ends = np.cumsum(counts)
-        mean = (sums[ends] - sums[ends - counts]) / np.maximum(counts, 1)[:, None]
-        return np.concatenate([self.words[bucket], mean.astype(np.float32)], 1)
+        out, ends = np.empty((len(bucket), 2 * DIM), np.float32), np.concatenate([[0], np.cumsum(counts)])
+        for k in range(0, len(bucket), 20_000):
+            e = ends[k : k + 20_001]
+            sums = np.concatenate([np.zeros((1, DIM)), np.cumsum(self.grams[grams[e[0] : e[-1]]], 0, dtype=np.float64)])
+            n = np.diff(e)
+            out[k : k + 20_000, DIM:] = np.diff(sums[e - e[0]], axis=0) / np.maximum(n, 1)[:, None]
+        out[:, :DIM] = self.words[bucket]
+        return out
 
     def forward(self, pre: dict[str, np.ndarray], mask: np.ndarray, keep: bool = False):
         """pre: input parts of the gates by direction, time first (T, B, 3H); mask (T, B, 1). Scores (B) and the tape."""
@@ -174,15 +183,16 @@ class Reader:
             owner.extend([i] * len(w))
         at = np.array(starts, np.int64)[:, None] + np.arange(WINDOW)
         inside = at < np.array(ends, np.int64)[:, None]
-        padded = np.concatenate([codes, [-1]])
-        return np.where(inside, padded[np.where(inside, at, len(codes))], -1), np.array(owner, np.int64)
+        padded = np.concatenate([codes, [-1]]).astype(np.int32)
+        return padded[np.where(inside, at, len(codes))], np.array(owner, np.int64)
 
 
 def fit(texts: list[str | None], labels: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Net:
     """A trained net. The sample is read whole: all windows of all its texts. Small samples get more epochs."""
     epochs = epochs or int(np.clip(12_000 // max(1, len(texts)), 4, 24))
     net, reader, rng = Net(seed), Reader(1 << 40), np.random.default_rng(seed)
-    win, owner = reader.windows(texts)
+    parts = [(k, *reader.windows(texts[k : k + 200])) for k in range(0, len(texts), 200)]
+    win, owner = np.concatenate([w for _, w, _ in parts]), np.concatenate([k + o for k, _, o in parts])
     bucket, grams, counts = word_parts(list(reader.code) or [""])
     begin = np.cumsum(counts) - counts
     # shrunken log-odds of word and n-gram buckets over documents
@@ -198,7 +208,7 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int | None = None,
         odds[name] = (np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))) * (seen.sum(0) / (seen.sum(0) + 4))
         getattr(net, name)[:, 0] = odds[name] / 2
     word_odds = np.concatenate([odds["words"][bucket], [-99.0]])
-    score = word_odds[win].max(1)
+    score = np.concatenate([word_odds[win[k : k + 4096]].max(1) for k in range(0, len(win), 4096)])
     state = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     sparse = {"words": np.zeros(1 << WORD_BITS, np.float32), "grams": np.zeros(1 << GRAM_BITS, np.float32)}
     step = 0
@@ -268,7 +278,11 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score_windows(net: Net, win: np.ndarray, vectors: np.ndarray, block: int = 1024) -> np.ndarray:
-    pre = {d: np.concatenate([vectors @ net.p[f"X{d}"] + net.p[f"c{d}"], net.p[f"c{d}"][None]]) for d in "fb"}
+    pre = {d: np.empty((len(vectors) + 1, 3 * HIDDEN), np.float32) for d in "fb"}
+    for d in "fb":
+        np.matmul(vectors, net.p[f"X{d}"], out=pre[d][:-1])
+        pre[d] += net.p[f"c{d}"]
+        pre[d][-1] = net.p[f"c{d}"]
     return _score(net, win, pre, block)
 
 
@@ -312,7 +326,7 @@ class Scorer:
         return _sigmoid(self.net.scale[0] * high + self.net.scale[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Net | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> Net | None:
     """A net from at most `sample` toxic and 2 * `sample` clean documents, none of them held out; None without both labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
