@@ -330,9 +330,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> Net | None:
     """A net from at most `sample` toxic and 2 * `sample` clean documents, none of them held out; None without both labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(one, "doc_id")
-    taken = [texts.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample * (2 - y)) for y in (0, 1)]
-    rows = [r for part in taken for r in part.collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the sample is drawn on ids alone; then its bounded list of ids is broadcast to the texts
+    there = one.join(texts.select("doc_id"), "doc_id", "left_semi")
+    ids = [r for y in (0, 1) for r in there.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (2 - y)).collect()]
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
+    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))
     y = np.array([r.y for r in rows], np.int64)
     return fit([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
 
