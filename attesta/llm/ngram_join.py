@@ -6,8 +6,9 @@ Every document picks its own l: a longer prefix scans more postings, but asks fo
 verifies fewer candidates; the l with the least estimated cost wins. Two documents are candidates when they share
 min(l, l') prefix shingles, which loses no pair. Candidates are verified on their whole sets.
 
-Of a pair the smaller set must share 8/9 of itself, so only its shorter prefix takes part, and pairs whose last common
-prefix token stands too late in either set go before verification.
+Of a pair the smaller set must share 8/9 of itself, so only its shorter prefix takes part. A common prefix token counts
+only if the tokens before it that have other takers, and all after it, could still make up the similarity; pairs whose
+last common prefix token stands too late in either set go before verification.
 
 Frequencies are counted over all documents in a sketch of fixed size (2^SKETCH_BITS counters), whose errors change
 the order and so the cost, never the result.
@@ -229,11 +230,16 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # all candidates in different components
     lists = posts.select("token", "pos", "node", "n", "l").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lists = lists.withColumn("mixed", F.min("root").over(of_token) != F.max("root").over(of_token))
-    lists = saved(lists.where("mixed").drop("mixed"), "ngram-lists")
-    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "node", "n", "l", "root"))) for x in "ab")
+    # q: how many of the node's tokens before this one can be shared with a node of another component at all; the order
+    # is global, so a partner that has this token in its prefix has every earlier common token there, too
+    before = Window.partitionBy("node").orderBy("pos")
+    lists = saved(lists.where("mixed").drop("mixed").withColumn("q", F.row_number().over(before) - 1), "ngram-lists")
+    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("pos", "node", "n", "l", "root", "q"))) for x in "ab")
     # a is the smaller set: with a partner of its size or more it must share 8/9 of itself, so its prefix is shorter
     short = one.where("pos_a < n_a - floor((8 * n_a + 8) / 9) + l_a")
+    bound = 1 + F.least("q_a", "q_b") + F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))
     cross = short.join(two, "token").where("(n_a < n_b or n_a = n_b and node_a < node_b) and root_a <> root_b").where(similar_sizes("n_a", "n_b"))
+    cross = cross.where(bound * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
     cross = cross.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.least("l_a", "l_b")).alias("need"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
     # what they can share beyond the last common prefix token
