@@ -1,5 +1,6 @@
 """Registered queries with their SQL."""
 
+from attesta.plans import composite  # noqa: F401  registers its queries
 from attesta.plans.catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
