@@ -14,8 +14,9 @@ Frequencies are counted over all documents in a sketch of fixed size (2^SKETCH_B
 the order and so the cost, never the result.
 
 Large groups are never expanded into pairs: documents with equal sets are one node; every node is first paired with
-one hub, the smallest node of the posting lists that they share, verified and joined into components (twice, the
-second time with hubs of other components); then only pairs of nodes that are still in different components are
+one hub, the node of the posting lists that they share whose prefix is the most common (of a group of near copies the
+one with the fewest shingles of its own), verified and joined into components (twice, the second time with hubs of
+other components); then only pairs of nodes that are still in different components are
 candidates, in full. Components are found by alternating large-star and
 small-star steps over tables in the shared folder.
 
@@ -113,8 +114,8 @@ def sketch_counts(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_of(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[int, np.ndarray]:
-    """(l, the prefix) of a set."""
+def prefix_of(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[int, np.ndarray, float]:
+    """(l, the prefix, the mean logarithm of its estimated frequencies) of a set."""
     n = len(s)
     need = (PERCENT * n + 99) // 100
     f = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -124,11 +125,12 @@ def prefix_of(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[int, np.
     found = np.cumsum(np.maximum(f[order[: base + most]] - 1 - noise, 0.0))
     cost = [found[base + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
     best = int(np.argmin(cost)) + 1
-    return best, s[order[: base + best]]
+    at = order[: base + best]
+    return best, s[at], float(np.log1p(f[at]).mean())
 
 
 def profiles(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), key (of the set), l and the prefix of every row."""
+    """doc_id, n (set size), key (of the set), l, the prefix and how common it is of every row."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -137,13 +139,13 @@ def profiles(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
         for b in batches:
             sets = shingler.sets(b.column(1).to_pylist())
             keys = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
-            made = [prefix_of(s, counts, noise) if len(s) else (0, s) for s in sets]
-            flat = np.concatenate([p for _, p in made]) if made else np.zeros(0, np.uint64)
-            ends = np.cumsum([0, *(len(p) for _, p in made)]).astype(np.int32)
-            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x for x, _ in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "l", "prefix"])
+            made = [prefix_of(s, counts, noise) if len(s) else (0, s, 0.0) for s in sets]
+            flat = np.concatenate([p for _, p, _ in made]) if made else np.zeros(0, np.uint64)
+            ends = np.cumsum([0, *(len(p) for _, p, _ in made)]).astype(np.int32)
+            columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x for x, _, _ in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array([x for _, _, x in made], pa.float32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "l", "prefix", "common"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, key binary, l int, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, key binary, l int, prefix array<long>, common float")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -204,9 +206,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # equal sets are one node, the smallest of their ids
     groups = full.groupBy("key").agg(F.min("doc_id").alias("node"))
     firsts = full.join(groups.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    posts = firsts.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "l")
+    posts = firsts.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "l", "common")
     of_token = Window.partitionBy("token")
-    posts = posts.withColumn("hub", F.min(F.struct("node", "n", "l")).over(of_token)).withColumn("c", F.count(F.lit(1)).over(of_token))
+    posts = posts.withColumn("hub", F.min(F.struct((-F.col("common")).alias("rare"), "node", "n", "l")).over(of_token)).withColumn("c", F.count(F.lit(1)).over(of_token))
     posts = saved(posts.where("c > 1").select("token", "pos", "node", "n", "l", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")), "ngram-posts")
     fits = similar_sizes("n", "hub_n")
     # the sets of all nodes that share a list with a node of similar size, made anew from the texts
@@ -214,7 +216,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = F.coalesce(similar_sizes("n", "before"), F.lit(False)) | F.coalesce(similar_sizes("n", "after"), F.lit(False))
     active = posts.withColumn("before", F.lag("n").over(lone)).withColumn("after", F.lead("n").over(lone)).where(near)
     sets = saved(sets_of(with_ids(known, saved(active.select("node").distinct(), "ngram-active"))), "ngram-sets")
-    # stars: every node with that smallest node of its lists, still in another component, which it shares most lists with
+    # stars: every node with that hub of its lists, still in another component, which it shares most lists with
     roots, links = None, None
     for turn in range(STARS):
         here = posts.where("node <> hub").where(fits)
