@@ -2,9 +2,10 @@
 
 Eleven overlapping heuristics vote good, bad or nothing on each document. Their votes are counted by pattern over all
 documents (at most 2^11 patterns, counted before any shuffle); expectation-maximisation on these counts estimates
-each labeller's accuracy (how often it votes what, by truth) and the share of good documents. A pattern's posterior labels a bounded sample of `sample`
-documents (the smallest keyed hashes), on which a linear scorer over hashed words and hashed bins of the heuristics'
-measures is trained. The scorer then scores every whole document.
+each labeller's accuracy (how often it votes what, by truth) and the share of good documents. A pattern's posterior
+labels a bounded sample of `sample` documents (the smallest keyed hashes; a threshold on the hash leaves about half as
+many more for the sort, however many tasks there are), on which a linear scorer over hashed words and hashed bins of
+the heuristics' measures is trained. The scorer then scores every whole document.
 
 No given label is read. Edge cases: null counts as empty; an empty text has no words and every labeller that needs
 words abstains; documents on which all labellers abstain have the prior as posterior; one-sided samples give the
@@ -124,6 +125,11 @@ def fit_linear(at: np.ndarray, weight: np.ndarray, size: np.ndarray, goal: np.nd
     return w, b
 
 
+def _smallest(rows: DataFrame, sample: int) -> list[str | None]:
+    """The texts of the `sample` smallest keyed hashes."""
+    return [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").collect()]
+
+
 def score_quality(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, posterior, score (0 to 1, higher is better), keep (score >= 0.5)."""
     spark = docs.sparkSession
@@ -141,7 +147,11 @@ def score_quality(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
     found = rows.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^11 rows
     patterns = np.array([[int(x) for x in r.pattern.split(",")] for r in found], np.int64).reshape(-1, len(LABELLERS))
     prior, acc = em(patterns, np.array([r.n for r in found], np.float64))
-    some = [r.text for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).select("text").collect()]
+    total = sum(r.n for r in found)
+    few = rows.where(F.xxhash64("doc_id") < int(-(1 << 63) + 1.5 * sample / total * (1 << 64))) if total > 1.5 * sample else rows
+    some = _smallest(few, sample)
+    if few is not rows and len(some) < sample:  # ids that repeat: the threshold left too few
+        some = _smallest(rows, sample)
     if some:
         at, weight, size, seen = Hasher().of(some)
         w, b = fit_linear(at, weight, size, posterior(np.array([votes(m) for m in seen]), prior, acc))
