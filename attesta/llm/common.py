@@ -54,3 +54,23 @@ def fold_ascii(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_bits: int = 28) -> DataFrame:
+    """The rows of docs whose id is not among gone(id). A bitmap of the hashes of the ids that go, of at most
+    2^most_bits bits (32 MB), is broadcast; rows that it clears pass as they are, and only the others are joined."""
+    gone = saved(gone.select(F.col("id").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    n = gone.count()
+    if not n:
+        return docs
+    bits = min(most_bits, max(20, (16 * n).bit_length()))
+    h = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    place = F.expr("__h & 32767")
+    marks = gone.select(h("__gone").alias("__h")).groupBy(F.shiftright("__h", 15).alias("__part")).agg(F.bitmap_construct_agg(place).alias("__bits"))
+    marks = F.broadcast(saved(marks, "gone-bits"))
+    rows = docs.withColumn("__h", F.coalesce(h(id_col), F.lit(-1))).join(marks, F.shiftright("__h", 15) == F.col("__part"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h & 7 as int))")) != 0, F.lit(False))
+    rows = rows.withColumn("__hit", hit)
+    maybe = rows.where("__hit").select(*docs.columns)
+    return rows.where("not __hit").select(*docs.columns).unionByName(maybe.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))

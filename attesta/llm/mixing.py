@@ -15,7 +15,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import saved, word_count
@@ -41,12 +41,22 @@ def mix_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of `docs`: doc_id, size, source_size, target, taken, times (copies taken), source."""
+def _hash(seed: str, id_col: str) -> Column:
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
-    sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")), "mix-sizes")
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def _times(h: Column, at: str = "") -> Column:
+    """How many times a plan's row takes a document of this hash."""
+    last = F.shiftright(h, HASH_BITS - LEVEL_BITS * LEVELS)
+    full, prefix, rest, edge_n = (F.col(at + c) for c in ("full", "prefix", "rest", "edge_n"))
+    extra = (last < prefix) | ((last == prefix) & (rest * 2 >= edge_n) & (edge_n > 0))
+    return (full + F.when(extra, 1).otherwise(0)).cast("long")
+
+
+def _plan(docs: DataFrame, seed: str, weights: tuple[int, ...], share: float, most: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and hashes, and a row per source with its target and threshold."""
+    sized = saved(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(seed, id_col).alias("h")), "mix-sizes")
     totals = mix_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = saved(
@@ -65,8 +75,22 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
             "source", "source_size", "target", "full", F.coalesce("next", F.shiftleft("prefix", LEVEL_BITS)).alias("prefix"),
             (F.col("rest") - F.coalesce("below", F.lit(0))).alias("rest"), F.coalesce("edge_n", F.lit(0)).alias("edge_n"))
         plan = saved(plan, f"mix-level{level}", 1)
-    last = F.shiftright("h", HASH_BITS - LEVEL_BITS * LEVELS)
-    extra = (last < F.col("prefix")) | ((last == F.col("prefix")) & (F.col("rest") * 2 >= F.col("edge_n")) & (F.col("edge_n") > 0))
-    times = F.col("full") + F.when(extra, 1).otherwise(0)
-    out = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("long").alias("times"), "source")
+    return sized, plan
+
+
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of `docs`: doc_id, size, source_size, target, taken, times (copies taken), source."""
+    sized, plan = _plan(docs, seed, weights, share, most, id_col, text_col, source_col)
+    out = sized.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times(F.col("h")))
+    return out.select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times", "source")
+
+
+def mixed_rows(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of `docs`, each as many times as mix() takes it. Rows meet their source's threshold only."""
+    _, plan = _plan(docs, seed, weights, share, most, id_col, text_col, source_col)
+    edge = plan.select(F.struct("source", "full", "prefix", "rest", "edge_n").alias("__plan"))
+    rows = docs.join(edge, F.col(source_col).eqNullSafe(F.col("__plan.source")))
+    times = _times(_hash(seed, id_col), "__plan.")
+    return rows.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(docs[c] for c in docs.columns))

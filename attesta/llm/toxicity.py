@@ -358,3 +358,17 @@ def score_toxicity(docs: DataFrame, net: Net | None, key: str = "toxicity") -> D
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean_rows(docs: DataFrame, net: Net | None) -> DataFrame:
+    """The whole rows of `docs` that are predicted clean, all columns as they are. Nothing is shuffled or joined."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, at = spark.sparkContext.broadcast(net), docs.columns.index("text")  # tables of fixed size
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value) if shared.value else None
+        for b in batches:
+            yield b.filter(pa.array(scorer.score(b.column(at).to_pylist()) < 0.5)) if scorer else b
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,44 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import saved, table
+from attesta.llm.common import saved, table, without
 from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.merge_dropout import encode_pieces
-from attesta.llm.mixing import mix
+from attesta.llm.mixing import mixed_rows
 from attesta.llm.ngram_join import ngram_join
 from attesta.llm.queries import TOKENIZERS
-from attesta.llm.toxicity import score_toxicity, train
+from attesta.llm.toxicity import clean_rows, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids(keep); of rows that repeat an id and text one."""
-    ids = saved(ids.select(F.col("keep").alias("__keep")).where("__keep is not null"), "pipeline-ids")
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("__keep"), "left_semi")
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs but those whose doc_id judged(doc_id, keep) only drops; rows without a doc_id stay."""
+    gone = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("keep").alias("keep")).where("not keep")
+    return without(docs.select(*COLUMNS), gone)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. Rows without a doc_id can't be told apart later and go, too."""
-    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
-    return _kept(docs, scored.where("predicted = 0").select(F.col("doc_id").alias("keep")))
+    """Documents predicted toxic go."""
+    return clean_rows(docs.select(*COLUMNS), train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
-    return _kept(docs, exact_dedup(docs).where("kept").select(F.col("doc_id").alias("keep")))
+    """Of equal texts the document with the largest doc_id stays. Rows without a doc_id can't be told apart and stay."""
+    return _kept(docs, exact_dedup(docs).select("doc_id", F.col("kept").alias("keep")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest doc_id stays."""
-    return _kept(docs, ngram_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("keep")))
+    return _kept(docs, ngram_join(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("keep")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times (none, once, twice) as the mix takes it."""
-    times = saved(mix(docs).where("times > 0").select(F.col("doc_id").alias("__id"), F.col("times").alias("__times")).distinct(), "pipeline-times")
-    taken = docs.select(*COLUMNS).join(times, F.col("doc_id") == F.col("__id"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*COLUMNS)
+    return mixed_rows(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
