@@ -95,11 +95,12 @@ def sketch_counts(rows: DataFrame) -> np.ndarray:
         for b in batches:
             s = shingler.sets(b.column(0).to_pylist())
             if s:
-                sums += np.bincount((np.concatenate(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-        blocks = sums.astype(np.int32 if sums.max() < 2**31 else np.int64).reshape(-1, 1 << BLOCK_BITS)
-        blocks = blocks.astype(np.int64) if sums.max() >= 2**31 else blocks
-        some = [i for i in range(len(blocks)) if blocks[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks.dtype.itemsize] * len(some), pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "width", "counts"])
+                at, n = np.unique((np.concatenate(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+                sums[at] += n
+        for i, block in enumerate(sums.reshape(-1, 1 << BLOCK_BITS)):  # one at a time: copies of all would triple the memory
+            if top := int(block.max()):
+                width = 4 if top < 2**31 else 8
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([width], pa.int32()), pa.array([block.astype(f"i{width}").tobytes()], pa.binary())], names=["block", "width", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << BLOCK_BITS, np.int64)
