@@ -227,3 +227,23 @@ def test_pipeline_stages_keep_columns():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding and decoding"]
     assert json.dumps(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_filters_keep_rows(spark):
+    from attesta.llm.common import without
+
+    rows = [(i if i else None, f"text {i} " * (i % 7), "en" if i % 3 else None, f"s{i % 2}", i) for i in range(300)] + [(5, "again", None, None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    gone = spark.createDataFrame([(i,) for i in range(0, 400, 5)] + [(None,)], "id long")
+    for bits in (4, 28):  # a full bitmap sends all rows to the exact join
+        got = without(d, gone, most_bits=bits)
+        assert got.columns == d.columns
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, (r for r in rows if r[0] is None or r[0] % 5)))
+    assert without(d, gone.limit(0)).count() == len(rows)
+    once = d.where("doc_id <> 5 or doc_id is null")
+    times = {r.doc_id: r.times for r in mixing.mix(once).collect() if r.times}
+    found = {}
+    for r in mixing.mixed_rows(once).collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == times
+    assert toxicity.clean_rows(d, None).count() == len(rows)
