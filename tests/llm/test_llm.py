@@ -170,6 +170,21 @@ def test_ivf_recall_and_edges(spark):
     assert len(few) == 4 and ivf_pq.search(spark.createDataFrame([], "vec_id long, embedding array<double>, z string")).count() == 0
 
 
+def test_ivf_finds_the_first_of_many_copies(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((6500, 32))
+    alike = r.permutation(6500)[:3000]
+    x[alike[:2000]] = x[alike[0]]  # equal ones
+    x[alike[2000:]] = x[alike[2000]] + 1e-7 * r.standard_normal((1000, 32))  # below the codebook's resolution
+    got = ivf_pq.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    hit = {True: [], False: []}
+    for q, g in got.groupby("query_id"):
+        s = np.einsum("d,nd->n", x[q], x)
+        s[q] = -np.inf
+        hit[bool(np.isin(q, alike))].append(len(set(np.lexsort((np.arange(6500), -s))[:20]) & set(g.vec_id)) / 20)
+    assert len(hit[True]) + len(hit[False]) == 325 and np.mean(hit[True]) == 1 and np.mean(hit[False]) >= 0.95
+
+
 def test_licenses(spark):
     t = license_scan.TEMPLATES
     texts = [f"{LONG} {t['mit']}", f"x {t['gpl-3.0']} y {t['gpl-3.0']}", t["apache-2.0"].upper(), "This work is licensed under the GNU Public License, version 3.", "the license of MIT", *ODD]
