@@ -4,8 +4,12 @@ A text is normalised as the model does (a leading blank, blanks as U+2581) and c
 vocabulary crosses: a run of blanks with the word after it, and line breaks. In each unit an agenda holds
 the candidate merges by score, then position; a merge that comes up is skipped when its keyed hash falls under the
 dropout rate, and may come up again with other neighbours. The key is the seed, the unit, the candidate's span and
-the occurrence's variant, one of `variants` chosen by keyed hash of document and position: the same text in the
-same document is always cut alike, and occurrences of one word differ. Rate 0 gives the model's own segmentation.
+the occurrence, a keyed hash of document, copy and position: the same text in the same copy of a document is always
+cut alike, and each occurrence of a word is drawn anew. Rate 0 gives the model's own segmentation.
+
+A unit's segmentation depends on its skips alone, so those seen are kept as a tree of candidates that branches on
+being skipped. All occurrences of a batch walk their trees side by side with their own draws, and an agenda is run only
+where a walk leaves the tree. Units over WIDE characters have no tree.
 
 Characters outside the vocabulary, and a literal U+2581, become byte pieces, so decoding gives the text back exactly. A model whose pieces cross words or lines is refused.
 
@@ -40,12 +44,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class MergeDropout:
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, variants: int = 4, most: int = 1_000_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
-        self.rate, self.seed, self.variants = rate, seed, variants if rate else 1
+        self.rate, self.seed = rate, seed
         self.limit = int(rate * (1 << 32))
         pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -71,8 +75,16 @@ class MergeDropout:
         if any("\n" in p or BLANK in p.lstrip(BLANK) for p in joined):
             raise ValueError("the model has pieces across words or lines")
         self.units = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
-        self.table, self.code = RunTable(most), {}
-        self.entry = np.full(4096 * self.variants, -1, np.int64)
+        self.table = RunTable(most)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Nodes of the trees: what a candidate's span adds to the key, and at 2 * node + (0 kept, 1 skipped) what comes
+        next: a node, -1 where not seen yet, or -2 - run. A unit's root has the first candidate or the run at 0."""
+        self.table.clear()
+        self.code: dict = {}
+        self.root, self.unit_key, self.long = np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
+        self.n_nodes, self.salt, self.child = 0, np.zeros(4096, np.uint64), np.full(8192, -1, np.int64)
 
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode()]
@@ -80,14 +92,14 @@ class MergeDropout:
     def _key(self, unit: str, variant: int) -> int:
         return ((zlib.crc32(unit.encode(), self.seed) << 20) ^ ((variant + 1) * 0x9E3779B97F4A7C15)) & MASK
 
-    def _skips(self, key, begin, mid, end):
-        """Whether the candidate that joins unit[begin:mid] and unit[mid:end] is skipped; on arrays of uint64."""
-        h = key + begin * np.uint64(0xD6E8FEB86659FD93) + end * np.uint64(0xA0761D6478BD642F) + mid * np.uint64(0xE7037ED1A0B428DB)
+    def _skips(self, h):
+        """Whether candidates are skipped, from the sums of key and span; on arrays of uint64."""
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)
 
-    def segment(self, unit: str, variant: int = 0) -> list[int]:
-        """Ids of one unit by an agenda: for units that are long or hold characters outside the vocabulary."""
+    def segment(self, unit: str, variant: int = 0, trace: list | None = None) -> list[int]:
+        """Ids of one unit by an agenda: for units that are long or hold characters outside the vocabulary. The variant
+        is the occurrence's hash; a trace takes (span, skipped) of each candidate that comes up."""
         n, score, limit, key = len(unit), self.score, self.limit, self._key(unit, variant)
         begin, end = list(range(n)), list(range(1, n + 1))  # symbol i covers unit[begin[i]:end[i]]; dead ones have end 0
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -104,9 +116,13 @@ class MergeDropout:
             if end[a] != mid or end[b] != stop:
                 continue
             if limit:
-                h = (key + begin[a] * 0xD6E8FEB86659FD93 + stop * 0xA0761D6478BD642F + mid * 0xE7037ED1A0B428DB) & MASK
+                span = (begin[a] * 0xD6E8FEB86659FD93 + stop * 0xA0761D6478BD642F + mid * 0xE7037ED1A0B428DB) & MASK
+                h = (key + span) & MASK
                 h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
-                if (h ^ (h >> 32)) & 0xFFFFFFFF < limit:
+                skipped = (h ^ (h >> 32)) & 0xFFFFFFFF < limit
+                if trace is not None:
+                    trace.append((span, skipped))
+                if skipped:
                     continue
             end[a], end[b], right[a] = end[b], 0, right[b]
             if right[a] >= 0:
@@ -127,8 +143,8 @@ class MergeDropout:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where((self.pairs[at] == pair) & (a >= 0) & (b >= 0), self.makes[at], -1)
 
-    def segment_all(self, units: list[str], variants: list[int]) -> list:
-        """Ids of many units; the agendas of those of up to WIDE known characters advance side by side, a merge each."""
+    def segment_all(self, units: list[str], variants: list[int], traces: list | None = None) -> list:
+        """Ids of many units; the agendas of those of up to WIDE known characters advance side by side, a candidate each."""
         out: list = [None] * len(units)
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         lens = np.fromiter(map(len, units), np.int64, len(units))
@@ -137,15 +153,23 @@ class MergeDropout:
         known = np.minimum.reduceat(syms, starts) >= 0 if len(units) else np.zeros(0, bool)
         rows = np.flatnonzero(known & (lens <= WIDE))
         for i in np.flatnonzero(~known | (lens > WIDE)).tolist():
-            out[i] = self.segment(units[i], variants[i])
+            out[i] = self.segment(units[i], variants[i], None if traces is None else traces[i])
         rows = rows[np.argsort(lens[rows], kind="stable")]
         for k in range(0, len(rows), 20_000):
             part = rows[k : k + 20_000]
-            for i, ids in zip(part.tolist(), self._side_by_side([units[i] for i in part], [variants[i] for i in part], syms, starts[part], lens[part]), strict=True):
+            steps: list = []
+            for i, ids in zip(part.tolist(), self._side_by_side([units[i] for i in part], [variants[i] for i in part], syms, starts[part], lens[part], steps), strict=True):
                 out[i] = ids
+            if traces is not None and steps:
+                rows_at, spans, skipped = (np.concatenate(x) for x in zip(*steps, strict=True))
+                order = np.argsort(rows_at, kind="stable")
+                pairs = list(zip(spans[order].tolist(), skipped[order].tolist(), strict=True))
+                ends = np.cumsum(np.bincount(rows_at, minlength=len(part))).tolist()
+                for i, a, b in zip(part.tolist(), [0, *ends[:-1]], ends, strict=True):
+                    traces[i].extend(pairs[a:b])
         return out
 
-    def _side_by_side(self, units, variants, syms, starts, lens) -> list:
+    def _side_by_side(self, units, variants, syms, starts, lens, steps: list) -> list:
         u, w = len(units), int(lens.max())
         cols = np.arange(w)
         sym = np.where(cols < lens[:, None], syms[np.minimum(starts[:, None] + cols, len(syms) - 1)], -1)
@@ -157,20 +181,13 @@ class MergeDropout:
         if w > 1:
             made[:, :-1] = self._join(sym[:, :-1], sym[:, 1:])
         score = np.where(made >= 0, self.rank[made], -np.inf)
-        if self.limit and w > 1:
-            x = np.arange(w - 1).astype(np.uint64)
-            one, two = np.uint64(1), np.uint64(2)
-            score[:, :-1][self._skips(key[:, None], x, x + one, x + two)] = -np.inf
 
         def propose(r, a, b) -> None:
             """Candidate of symbol a and its right neighbour b in the rows r; b may be past the end."""
             ok = b < lens[r]
             bb = np.where(ok, b, 0)
             m = np.where(ok, self._join(sym[r, a], sym[r, bb]), -1)
-            s = np.where(m >= 0, self.rank[m], -np.inf)
-            if self.limit:
-                s[self._skips(key[r], a.astype(np.uint64), end[r, a].astype(np.uint64), end[r, bb].astype(np.uint64))] = -np.inf
-            made[r, a], score[r, a] = m, s
+            made[r, a], score[r, a] = m, np.where(m >= 0, self.rank[m], -np.inf)
 
         live = np.arange(u)
         while len(live):
@@ -179,17 +196,23 @@ class MergeDropout:
             live, a = live[go], a[go]
             if not len(live):
                 break
-            b = nxt[live, a]
-            sym[live, a], end[live, a] = made[live, a], end[live, b]
-            sym[live, b], score[live, b] = -1, -np.inf
-            c = nxt[live, b]
-            nxt[live, a] = c
-            inner = c < lens[live]
-            prv[live[inner], c[inner]] = a[inner]
-            propose(live, a, c)
-            p = prv[live, a]
+            r, b = live, nxt[live, a]
+            if self.limit:
+                span = a.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end[r, b].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + end[r, a].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+                skipped = self._skips(key[r] + span)
+                steps.append((r, span, skipped))
+                score[r[skipped], a[skipped]] = -np.inf
+                r, a, b = r[~skipped], a[~skipped], b[~skipped]
+            sym[r, a], end[r, a] = made[r, a], end[r, b]
+            sym[r, b], score[r, b] = -1, -np.inf
+            c = nxt[r, b]
+            nxt[r, a] = c
+            inner = c < lens[r]
+            prv[r[inner], c[inner]] = a[inner]
+            propose(r, a, c)
+            p = prv[r, a]
             has = p >= 0
-            propose(live[has], p[has], a[has])
+            propose(r[has], p[has], a[has])
         flat = sym[sym >= 0].tolist()
         ends = np.cumsum((sym >= 0).sum(1)).tolist()
         return [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
@@ -202,41 +225,91 @@ class MergeDropout:
             return [u for i, p in enumerate(parts) for u in ([("", BLANK)] if i else []) + self.units.findall(p)]
         return self.units.findall(BLANK + text.replace(" ", BLANK))
 
-    def encode(self, doc_ids: list, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and each text's number of ids."""
-        if self.table.n > self.table.most:
-            self.table.clear()
-            self.code.clear()
-            self.entry[:] = -1
+    def _nodes(self, n: int) -> int:
+        """Room for n further nodes; the number of the first."""
+        first, self.n_nodes = self.n_nodes, self.n_nodes + n
+        while self.n_nodes > len(self.salt):
+            self.salt, self.child = np.concatenate([self.salt, np.zeros_like(self.salt)]), np.concatenate([self.child, np.full_like(self.child, -1)])
+        return first
+
+    def _codes(self, flat: list) -> np.ndarray:
+        """A number for each unit; new units get a root."""
+        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(miss := np.flatnonzero(codes < 0)):
+            lacking = [flat[i] for i in miss.tolist()]
+            new, first = list(dict.fromkeys(lacking)), len(self.code)
+            self.code.update(zip(new, range(first, first + len(new)), strict=True))
+            codes[miss] = list(map(self.code.get, lacking))
+            while len(self.code) > len(self.root):
+                self.root, self.unit_key, self.long = (np.concatenate([x, np.zeros_like(x)]) for x in (self.root, self.unit_key, self.long))
+            at = slice(first, first + len(new))
+            self.root[at] = self._nodes(len(new)) + np.arange(len(new))
+            self.unit_key[at] = [0 if isinstance(u, tuple) else zlib.crc32(u.encode(), self.seed) << 20 for u in new]
+            self.long[at] = [bool(self.limit) and isinstance(u, str) and len(u) > WIDE for u in new]
+        return codes
+
+    def _runs(self, flat: list, codes: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """The run of each occurrence: it walks its unit's tree as far as that is known, then the tree is extended."""
+        key = self.unit_key[codes] ^ ((draw + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        slot, depth, out = 2 * self.root[codes], np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
+        if len(long := np.flatnonzero(self.long[codes])):
+            runs = self.segment_all([flat[i] for i in long.tolist()], draw[long].tolist())
+            out[long] = self.table.add(runs) + np.arange(len(long))
+        todo = np.flatnonzero(out < 0)
+        while len(todo):
+            to = self.child[slot[todo]]
+            live = np.flatnonzero(to >= 0)
+            while len(live):
+                node, i = to[live], todo[live]
+                slot[i] = 2 * node + self._skips(key[i] + self.salt[node])
+                depth[i] += 1
+                to[live] = self.child[slot[i]]
+                live = live[to[live] >= 0]
+            out[todo] = -2 - to
+            todo = todo[to == -1]
+            if len(todo):
+                ends, first = np.unique(slot[todo], return_index=True)
+                self._extend(flat, draw, todo[first], ends, depth)
+        return out
+
+    def _extend(self, flat: list, draw: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: np.ndarray) -> None:
+        """Adds the paths of the occurrences `at`, each of which left its tree at another end."""
+        units, traces = [flat[i] for i in at.tolist()], [[] for _ in at]
+        runs = self.segment_all(["\n" if isinstance(u, tuple) else u for u in units], draw[at].tolist(), traces)
+        for i, u in enumerate(units):
+            if isinstance(u, tuple):
+                runs[i] = self._bytes(BLANK)
+        leaf = -2 - (self.table.add(runs) + np.arange(len(at)))
+        rest = [x for t, d in zip(traces, depth[at].tolist(), strict=True) for x in t[d:]]
+        lens = np.fromiter(map(len, traces), np.int64, len(traces)) - depth[at]
+        node = self._nodes(len(rest)) + np.arange(len(rest))
+        stop = np.cumsum(lens)
+        some = lens > 0
+        self.child[ends] = leaf
+        if len(rest):
+            self.child[ends[some]] = node[(stop - lens)[some]]
+            self.salt[node] = np.array([x for x, _ in rest], np.uint64)
+            to = node + 1
+            to[stop[some] - 1] = leaf[some]
+            self.child[2 * node + np.array([x for _, x in rest], np.int64)] = to
+
+    def encode(self, doc_ids: list, texts: list[str | None], copies: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after another, and each text's number of ids. Copies of a document are drawn apart by their numbers."""
+        if max(self.table.n, self.n_nodes // 4, self.table.used // 16) > self.table.most:
+            self._clear()
         flat, sizes = [], []
         for t in texts:
             units = self._split(t)
             sizes.append(len(units))
             flat.extend(units)
         counts = np.array(sizes, np.int64)
-        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(miss := np.flatnonzero(codes < 0)):
-            lacking = [flat[i] for i in miss.tolist()]
-            new = list(dict.fromkeys(lacking))
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            codes[miss] = list(map(self.code.get, lacking))
-            while len(self.code) * self.variants > len(self.entry):
-                self.entry = np.concatenate([self.entry, np.full_like(self.entry, -1)])
+        codes = self._codes(flat)
         keys = np.array([hash_key(d) for d in doc_ids], np.uint64)
+        if copies is not None:
+            keys += np.array([hash_key(c) for c in copies], np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         place = gather(np.zeros(len(counts), np.int64), counts).astype(np.uint64)
         draw = _mixed(np.repeat(_mixed(keys + np.uint64(self.seed)), counts) + place * np.uint64(0x9E3779B97F4A7C15)) if len(flat) else place
-        slots = codes * self.variants + (draw % np.uint64(self.variants)).astype(np.int64)
-        entries = self.entry[slots]
-        if len(miss := np.flatnonzero(entries < 0)):
-            new, where = np.unique(slots[miss], return_index=True)
-            todo, variant = [flat[i] for i in miss[where].tolist()], (new % self.variants).tolist()
-            literal = [i for i, u in enumerate(todo) if isinstance(u, tuple)]
-            runs = self.segment_all(["\n" if isinstance(u, tuple) else u for u in todo], variant)
-            for i in literal:
-                runs[i] = self._bytes(BLANK)
-            self.entry[new] = self.table.add(runs) + np.arange(len(new))
-            entries = self.entry[slots]
-        ids, lens = self.table.expand(entries)
+        ids, lens = self.table.expand(self._runs(flat, codes, draw))
         sums = np.concatenate([[0], np.cumsum(lens)])
         return ids, np.diff(sums[np.cumsum(counts)], prepend=0) if len(counts) else counts
 
@@ -261,17 +334,17 @@ def coder(*how) -> MergeDropout:
     return _coders[how]
 
 
-def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, variants: int = 4, with_ids: bool = True,
-                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, with_ids: bool = True,
+                  id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), lossless
-    (whether decoding the ids gave the text), and the ids where asked for. Nothing is shuffled."""
+    (whether decoding the ids gave the text), and the ids where asked for. Rows of one document that differ in copy_col are drawn apart. Nothing is shuffled."""
     small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        c = coder(model, rate, seed, variants)
+        c = coder(model, rate, seed)
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            ids, lens = c.encode(doc_ids, texts)
+            ids, lens = c.encode(doc_ids, texts, b.column(2).to_pylist() if copy_col else None)
             same = [x == (t or "") for x, t in zip(c.decode(ids, lens), texts, strict=True)]
             ends = np.cumsum(lens)
             raw, cut = ids.astype("<u4").tobytes(), list(zip((ends - lens).tolist(), ends.tolist(), strict=True))
@@ -282,5 +355,5 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(copy_col).cast("long").alias("copy")] if copy_col else []))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids)

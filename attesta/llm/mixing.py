@@ -87,10 +87,10 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2)
 
 
 def mixed_rows(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2,
-               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of `docs`, each as many times as mix() takes it. Rows meet their source's threshold only."""
+               id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copy_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, each as many times as mix() takes it, numbered from 1 in copy_col where given. Rows meet their source's threshold only."""
     _, plan = _plan(docs, seed, weights, share, most, id_col, text_col, source_col)
     edge = plan.select(F.struct("source", "full", "prefix", "rest", "edge_n").alias("__plan"))
     rows = docs.join(edge, F.col(source_col).eqNullSafe(F.col("__plan.source")))
     times = _times(_hash(seed, id_col), "__plan.")
-    return rows.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(docs[c] for c in docs.columns))
+    return rows.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(docs[c] for c in docs.columns), *([F.col("__copy").alias(copy_col)] if copy_col else []))

@@ -38,13 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times (none, once, twice) as the mix takes it."""
-    return mixed_rows(docs.select(*COLUMNS))
+    """Each document as many times (none, once, twice) as the mix takes it, its copies numbered."""
+    return mixed_rows(docs.select(*COLUMNS), copy_col="copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, cut with merge-dropout."""
-    return encode_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    """Token ids of each row, cut with merge-dropout; the copies of a document are cut apart."""
+    return encode_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model", copy_col="copy" if "copy" in docs.columns else None)
 
 
 STAGES = [

@@ -152,6 +152,44 @@ def test_merge_dropout(spark):
     assert len(rows) == len(texts) and all(r.lossless and len(r.ids) == r.n_pieces for r in rows)
 
 
+def test_merge_dropout_draws_each_occurrence():
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    c = merge_dropout.MergeDropout(model)  # production's rate
+    n, word = 4000, "pneumonia"
+    ids, lens = c.encode(list(range(n)), [word] * n)
+    ends = np.cumsum(lens)
+    runs = [tuple(ids[a:b].tolist()) for a, b in zip(ends - lens, ends, strict=True)]
+    assert len(set(runs)) > 8 and len(set(runs)) < n / 10
+    paths = [[] for _ in range(n)]
+    for v, path in enumerate(paths):
+        c.segment("▁" + word, v, path)
+    merges = next(len(p) for p in paths if not any(skipped for _, skipped in p))
+    assert abs(np.mean([skipped for p in paths for _, skipped in p]) - 0.1) < 0.01
+    assert abs(np.mean([not any(skipped for _, skipped in p) for p in paths]) - 0.9**merges) < 0.03
+    # many occurrences in one text give what the agenda gives for each, however the trees came about
+    text = " ".join(["pneumonia river ١٢ x.y,z!!"] * 300)
+    first = c.encode([5], [text])[0].tolist()
+    assert merge_dropout.MergeDropout(model).encode([5], [text])[0].tolist() == first
+    fresh, variants = merge_dropout.MergeDropout(model), list(range(3000))
+    codes = fresh._codes(["▁pneumonia"] * 3000)
+    found = fresh._runs(["▁pneumonia"] * 3000, codes, np.array(variants, np.uint64))
+    ids, lens = fresh.table.expand(found)
+    ends = np.cumsum(lens)
+    assert [ids[a:b].tolist() for a, b in zip(ends - lens, ends, strict=True)] == [fresh.segment("▁pneumonia", v) for v in variants]
+    assert c.encode([5], [text], [1])[0].tolist() != c.encode([5], [text], [2])[0].tolist()
+
+
+def test_pipeline_cuts_copies_apart(spark):
+    import corpus_pipeline
+
+    d = docs(spark, [f"pneumonia {' '.join(near_copies(9, i))}" for i in range(12)])
+    mixed = corpus_pipeline.mix_sources(spark, d, "")
+    cuts = {}
+    for r in corpus_pipeline.encode(spark, mixed, "").collect():
+        cuts.setdefault(r.doc_id, []).append(tuple(r.ids))
+    assert any(len(c) > 1 for c in cuts.values()) and all(len(set(c)) == len(c) for c in cuts.values())
+
+
 def test_ivf_recall_and_edges(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((6000, 32))
