@@ -10,7 +10,7 @@ template's words (with their counts), so windows of twice the template's length,
 share fewer are left out without loss for matches of up to one template's length.
 
 Edge cases: null and empty texts match nothing; a license that occurs several times in a text gives one row, of its
-best stretch (ties: the first); repeated rows are scanned alike; an empty table gives an empty result.
+best stretch (ties: the first), with all its disjoint stretches in text order as a list; repeated rows are scanned alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -89,8 +89,8 @@ class Scanner:
         self.templates = {name: words_of(t) for name, t in templates.items()}
         self.counts = {name: Counter(t) for name, t in self.templates.items()}
 
-    def scan(self, text: str | None) -> Iterator[tuple[str, float, int, int, int]]:
-        """(license, coverage, first word, last word, words aligned) of each license that reaches the least coverage."""
+    def scan(self, text: str | None) -> Iterator[tuple[str, float, int, int, int, list]]:
+        """(license, coverage, first word, last word, words aligned, stretches in text order) of each license that reaches the least coverage."""
         if not text:
             return
         words = words_of(text)
@@ -99,30 +99,43 @@ class Scanner:
             need, n = self.counts[name], len(template)
             if not n or sum(c for w, c in need.items() if w in have) < self.least * n:
                 continue
-            best = None
+            found = []
             hits = [i for i, w in enumerate(words) if w in need]
             for start in sorted({i // n for i in hits} | {max(0, i // n - 1) for i in hits}):
-                part = words[start * n : start * n + 2 * n]
-                if sum((Counter(part) & need).values()) < self.least * n:
-                    continue
-                pairs = align(template, part, b0=start * n)
-                if pairs and len(pairs) >= self.least * n and (best is None or len(pairs) > best[4]):
-                    best = (name, len(pairs) / n, min(y for _, y in pairs), max(y for _, y in pairs), len(pairs))
-            if best:
-                yield best
+                todo = [(start * n, min(start * n + 2 * n, len(words)))]
+                while todo:  # what a stretch leaves of its window on both sides may hold another
+                    low, high = todo.pop()
+                    part = words[low:high]
+                    if sum((Counter(part) & need).values()) < self.least * n:
+                        continue
+                    pairs = align(template, part, b0=low)
+                    if pairs and len(pairs) >= self.least * n:
+                        first, last = min(y for _, y in pairs), max(y for _, y in pairs)
+                        found.append((len(pairs) / n, first, last, len(pairs)))
+                        todo += [(low, first), (last + 1, high)]
+            apart: list = []
+            for x in sorted(found, key=lambda x: (-x[3], x[1], x[2])):
+                at = bisect_left(apart, x[1], key=lambda y: y[1])
+                if (at == 0 or apart[at - 1][2] < x[1]) and (at == len(apart) or x[2] < apart[at][1]):
+                    apart.insert(at, x)
+            if apart:
+                yield (name, *min(apart, key=lambda x: (-x[3], x[1])), apart)
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document and license found: doc_id, license, coverage, first_word, last_word, aligned. Nothing is shuffled."""
+    """A row per document and license found: doc_id, license, coverage, first_word, last_word, aligned of the best stretch, and all stretches. Nothing is shuffled."""
     small_batches(docs.sparkSession)
     scanner = Scanner(templates or TEMPLATES, least)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for hit in scanner.scan(t)]
-            kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            four = [("coverage", pa.float64()), *((c, pa.int64()) for c in ("first_word", "last_word", "aligned"))]
+            kinds = (pa.int64(), pa.string(), *(k for _, k in four), pa.list_(pa.struct(four)))
+            rows = [(*r[:6], [dict(zip((c for c, _ in four), x, strict=True)) for x in r[6]]) for r in rows]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "coverage", "first_word", "last_word", "aligned"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "coverage", "first_word", "last_word", "aligned", "stretches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, aligned long")
+    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, aligned long, "
+                           "stretches array<struct<coverage: double, first_word: long, last_word: long, aligned: long>>")

@@ -234,6 +234,15 @@ def test_licenses(spark):
     assert len(pairs) == 5 and all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs, key=lambda p: p[1])
 
 
+def test_licenses_gives_all_stretches(spark):
+    t = license_scan.TEMPLATES
+    texts = [f"x {t['gpl-3.0']} y {t['gpl-3.0']}", " ".join([t["mit"]] * 5), f"{t['mit']} {LONG} {t['mit']} {LONG} {t['mit']}", t["mit"]]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert [len(got[i].stretches) for i in range(4)] == [2, 5, 3, 1]
+    assert [(s.first_word, s.last_word) for s in got[0].stretches] == [(1, 12), (14, 25)]
+    assert got[2].stretches[0].first_word == got[2].first_word == 0 and all(s.coverage == 1 for s in got[1].stretches)
+
+
 def test_quality(spark):
     r = random.Random(2)
     good = [" ".join(r.choice(["tree", "river", "stone", "walks", "under", "light,", "moves.", "quiet", "old", "and", "far", "road"]) + r.choice("abcdef") * r.randrange(2) for _ in range(r.randrange(30, 200))) for _ in range(200)]
