@@ -28,7 +28,6 @@ n_shingles and a null component; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attesta.llm.common import LOWER, UPPER, saved, small_batches
+from attesta.llm.common import LOWER, SPACES, UPPER, saved, small_batches
 
 WORDS, PERCENT, SKETCH_BITS, BLOCK_BITS, MOST_MATCHES = 5, 80, 21, 15, 4
 #: Cost of verifying a candidate, in scanned postings.
@@ -47,40 +46,72 @@ VERIFY = 8
 STARS = 2
 #: So many ids (8 bytes each) may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes hashed at a time; only a longer word makes a longer piece.
+PIECE = 1 << 20
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[list(SPACES)] = False
 
 
-class Shingler:
-    def __init__(self, most: int = 500_000):
-        self.memo, self.most = {}, most
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
 
-    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+class Shingler:
+    """Hashes words straight from the bytes of many texts, by polynomials over drawn values of the bytes modulo 2^64;
+    nothing is kept from batch to batch but the powers of the base. Different words are taken as equal only where
+    64 bits agree."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, seed: int = 11):
+        value = np.random.default_rng(seed).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.value = value[np.frombuffer(bytes(range(256)).translate(_FOLD), np.uint8)]
+        self.powers, self.inverse = (np.ones(1, np.uint64) for _ in "ab")
+
+    def _room(self, n: int) -> None:
+        if n > len(self.powers):
+            for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 1 << 64))):
+                steps = np.full(max(n, PIECE), base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of a buffer that ends in white space: where each begins, and its hash."""
+        begins, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(raw):
+            stop = min(at + PIECE, len(raw))
+            while stop < len(raw) and _IN_WORD[raw[stop - 1]]:  # up to the next white space
+                ahead = np.flatnonzero(~_IN_WORD[raw[stop : stop + PIECE]])
+                stop = stop + int(ahead[0]) + 1 if len(ahead) else min(stop + PIECE, len(raw))
+            part = raw[at:stop]
+            edge = np.flatnonzero(np.diff(_IN_WORD[part].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+            first, end = edge[::2], edge[1::2]
+            self._room(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.value[part] * self.powers[: len(part)], out=sums[1:])
+            hashes.append(_mixed((sums[end] - sums[first]) * self.inverse[first]))
+            begins.append(first + at)
+            at = stop
+        return np.concatenate(begins), np.concatenate(hashes)
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """Of each text: the sorted hashes (uint64) of its distinct shingles."""
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        flat, lens = [], []
-        for t in texts:
-            words = (t or "").encode().translate(_FOLD).split()
-            lens.append(len(words))
-            flat.extend(words)
-        memo = self.memo
-        found = list(map(memo.get, flat, repeat(None)))
-        if None in found:
-            for w in {w for w, h in zip(flat, found, strict=True) if h is None}:
-                memo[w] = xxhash.xxh64_intdigest(w)
-            found = list(map(memo.get, flat))
-        h = np.array(found, np.uint64)
-        k = np.uint64(0x9E3779B97F4A7C15)
-        n = len(h) - WORDS + 1
-        s = np.zeros(max(n, 0), np.uint64)
-        for i in range(WORDS if n > 0 else 0):
-            s = (s ^ (s >> np.uint64(29))) * k + h[i : i + n]
+        raw = [(t or "").encode() for t in texts.to_numpy(zero_copy_only=False).tolist()]
+        ends = np.cumsum([len(t) + 1 for t in raw])
+        begins, h = self.words(np.frombuffer(b"".join(t + b"\n" for t in raw), np.uint8))
+        n = np.diff(np.searchsorted(begins, ends), prepend=0)
+        s = np.zeros(max(len(h) - WORDS + 1, 0), np.uint64)
+        for i in range(WORDS if len(s) else 0):
+            s = (s ^ (s >> np.uint64(29))) * np.uint64(self.BASE) + h[i : i + len(s)]
         s = (s ^ (s >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         s ^= s >> np.uint64(27)
         out, at = [], 0
-        for m in lens:
+        for m in n.tolist():
             if m >= WORDS:
-                out.append(np.unique(s[at : at + m - WORDS + 1]))
+                x = np.sort(s[at : at + m - WORDS + 1])
+                out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
             else:
                 out.append(np.array([xxhash.xxh64_intdigest(h[at : at + m].tobytes(), m)] if m else [], np.uint64))
             at += m
@@ -90,13 +121,12 @@ class Shingler:
 def sketch_counts(rows: DataFrame) -> np.ndarray:
     """Counts of all shingles by their highest SKETCH_BITS bits."""
 
-    def count(batches) -> Iterator[pd.DataFrame]:
+    def count(batches) -> Iterator[pa.RecordBatch]:
         shingler, sums = Shingler(), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            s = shingler.sets(b.column(0).to_pylist())
+            s = shingler.sets(b.column(0))
             if s:
-                at, n = np.unique((np.concatenate(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                sums[at] += n
+                sums += np.bincount((np.concatenate(s) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         for i, block in enumerate(sums.reshape(-1, 1 << BLOCK_BITS)):  # one at a time: copies of all would triple the memory
             if top := int(block.max()):
                 width = 4 if top < 2**31 else 8
@@ -119,15 +149,16 @@ def prefix_of(s: np.ndarray, sketch: np.ndarray, noise: float) -> tuple[int, np.
     """(l, the prefix, the mean logarithm of its estimated frequencies) of a set."""
     n = len(s)
     need = (PERCENT * n + 99) // 100
-    f = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((s, f))
     most = min(MOST_MATCHES, need)
     base = n - need
-    found = np.cumsum(np.maximum(f[order[: base + most]] - 1 - noise, 0.0))
+    # by frequency, then hash (s is sorted): only the longest prefix is brought into order
+    order = (sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64) << 32) | np.arange(n)
+    order = np.sort(np.partition(order, base + most - 1)[: base + most])
+    at, f = order & 0xFFFFFFFF, order >> 32
+    found = np.cumsum(np.maximum(f - 1 - noise, 0.0))
     cost = [found[base + k - 1] * (1 + VERIFY / k) for k in range(1, most + 1)]
     best = int(np.argmin(cost)) + 1
-    at = order[: base + best]
-    return best, s[at], float(np.log1p(f[at]).mean())
+    return best, s[at[: base + best]], float(np.log1p(f[: base + best]).mean())
 
 
 def profiles(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -138,7 +169,7 @@ def profiles(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
         shingler, counts = Shingler(), shared.value
         noise = float(counts.mean())
         for b in batches:
-            sets = shingler.sets(b.column(1).to_pylist())
+            sets = shingler.sets(b.column(1))
             keys = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
             made = [prefix_of(s, counts, noise) if len(s) else (0, s, 0.0) for s in sets]
             flat = np.concatenate([p for _, p, _ in made]) if made else np.zeros(0, np.uint64)
@@ -153,7 +184,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in batches:
-            sets = shingler.sets(b.column(1).to_pylist())
+            sets = shingler.sets(b.column(1))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["node", "s"])
