@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.common import LOWER, UPPER, table
@@ -18,7 +17,7 @@ from attesta.llm.token_file import token_digest
 from attesta.llm.toxicity import score_toxicity, train
 from attesta.llm.url_rules import Rule, filter_urls
 
-TOKENIZERS = os.environ.get("ATTESTA_TOKENIZERS", "/opt/tokenizers")
+WORD_TOKENIZER, PIECE_MODEL = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "piece_bpe_32k.model"))
 RULES = [
     Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
     Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"),
@@ -59,11 +58,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return token_digest(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", with_ids=False)
+    return encode_pieces(table(spark, sf_dir, "documents"), PIECE_MODEL, with_ids=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ivf_pq, op3_quality, op4_url_rules, op5_exact_dedup, op6_toxicity, op7_ngram_join, op8_source_mix, op9_token_file, op10_merge_dropout)}

@@ -6,7 +6,8 @@ document's end, so each document is a slice of the compressed sequence. A shard
 each rule expands to, and for each document its slice and token count, so one document, or any range of its tokens,
 is decoded without the rest.
 
-Pairs are counted in a hash table; of a bucket's pairs one stands for it, and only that one's exact count is used.
+Replacing goes on until no pair occurs `least` times in the shard or its symbols of 16 bits (of 32, where the vocabulary
+itself is wider) are used up.
 
 A task writes each shard under a name of its own and reports it; the report (manifest) is saved once. Reading
 trusts only files that the manifest names, so retried or lost tasks leave no trace in the result.
@@ -17,15 +18,16 @@ all their rows; a document longer than a shard makes a longer shard; an empty ta
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,44 +35,63 @@ from attesta.llm.common import saved, shared_dir, small_batches
 from attesta.llm.tokens import RunTable
 
 MAGIC = b"RPS1"
-HASH_BITS = 18
+SLOT_BITS = 18
 SYMBOLS_16 = 1 << 16
 
 
-def repair(ids: np.ndarray, doc_lens: np.ndarray, first_new: int, rounds: int = 4, rules_a_round: int = 4000, least: int = 8):
-    """(sequence, rules of two symbols each, expansion length of each rule, length of each document's slice)."""
-    seq, lens = ids.astype(np.uint32), doc_lens.astype(np.int64)
+def repair(ids: np.ndarray, doc_lens: np.ndarray, first_new: int, least: int = 8, share: int = 16):
+    """(sequence, rules of two symbols each, expansion length of each rule, length of each document's slice).
+
+    In turns: all pairs are counted exactly, by sorting, and those of the highest counts (down to a `share` of the
+    highest) replaced, until no pair occurs `least` times or the symbols that fit the file's width are used up. Once the
+    threshold is down at `least`, a turn looks at the pairs with symbols of the turn before alone; before the end all
+    pairs are counted once more."""
+    narrow = first_new < SYMBOLS_16
+    kind, half = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+    seq, lens = ids.astype(kind), doc_lens.astype(np.int64)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(lens)[lens > 0] - 1] = True
-    room = SYMBOLS_16 - first_new if first_new < SYMBOLS_16 else 1 << 20
+    room = SYMBOLS_16 - first_new if narrow else 1 << 20
     rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or n_rules >= room:
-            break
-        a, b = seq[:-1], seq[1:]
-        bucket = (((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
-        bucket[last[:-1]] = 1 << HASH_BITS  # no pair crosses a document's end
-        stands = np.zeros((1 << HASH_BITS) + 1, np.uint64)
-        pair = (a.astype(np.uint64) << np.uint64(32)) | b
-        stands[bucket] = pair
-        fits = stands[bucket] == pair
-        count = np.bincount(bucket, fits, (1 << HASH_BITS) + 1)
-        count[-1] = 0
-        frequent = np.flatnonzero(count >= least)
-        if not len(frequent):
-            break
-        frequent = frequent[np.argsort(-count[frequent], kind="stable")[: min(rules_a_round, room - n_rules)]]
-        symbol = np.zeros((1 << HASH_BITS) + 1, np.uint32)
-        symbol[frequent] = first_new + n_rules + np.arange(len(frequent))
-        rules.append(np.stack([stands[frequent] >> np.uint64(32), stands[frequent] & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
-        n_rules += len(frequent)
-        new = symbol[bucket]
-        at = np.flatnonzero((new > 0) & fits)
+    n_rules, since = 0, None  # the first symbol of the turn before, where only its pairs are looked at
+    held, made = np.zeros(1 << SLOT_BITS, kind), np.zeros(1 << SLOT_BITS, kind)
+
+    def slot(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs * kind(0x9E3779B1)) >> kind(8 * kind().itemsize - SLOT_BITS)).astype(np.intp) if narrow else ((pairs * kind(0x9E3779B97F4A7C15)) >> kind(64 - SLOT_BITS)).astype(np.intp)
+
+    while len(seq) > 1 and n_rules < room:
+        fresh = True if since is None else (seq[:-1] >= since) | (seq[1:] >= since)
+        at = np.flatnonzero(~last[:-1] & fresh)  # no pair crosses a document's end
+        pair = (seq[at] << half) | seq[at + 1]
+        keys = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        count = np.diff(edge, append=len(keys))
+        top = int(count.max()) if len(count) else 0
+        if top < least:
+            if since is None:
+                break
+            since = None
+            continue
+        cut = least if since is not None else max(least, top // share)
+        some = np.flatnonzero(count >= cut)
+        some = some[np.argsort(-count[some], kind="stable")[: room - n_rules]]
+        keys = keys[edge[some]]
+        # of pairs in one slot the most frequent; the others wait for a later turn
+        own = np.sort(np.unique(slot(keys), return_index=True)[1])
+        keys = keys[own]
+        held[:], made[:] = 0, 0
+        held[slot(keys)], made[slot(keys)] = keys, first_new + n_rules + np.arange(len(keys))
+        rules.append(np.stack([keys >> half, keys & kind((1 << int(half)) - 1)], 1).astype(np.int64))
+        since = first_new + n_rules if cut == least else None
+        n_rules += len(keys)
+        where = slot(pair)
+        hit = (held[where] == pair) & (made[where] > 0)
+        at, new = at[hit], made[where[hit]]
         # of overlapping pairs every second one of each run is replaced
         run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0]
-        seq[at] = new[at]
+        odd = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0
+        at, new = at[odd], new[odd]
+        seq[at] = new
         last[at] |= last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -78,7 +99,7 @@ def repair(ids: np.ndarray, doc_lens: np.ndarray, first_new: int, rounds: int =
     table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     size = np.ones(first_new + len(table), np.int64)
     done = 0
-    for r in rules:  # a round's rules use symbols of earlier rounds only
+    for r in rules:  # a turn's rules use symbols of earlier turns only
         size[first_new + done : first_new + done + len(r)] = size[r].sum(1)
         done += len(r)
     ends = np.flatnonzero(last)
@@ -141,87 +162,120 @@ class Shard:
         return expand(self.seq, self.rules, self.vocab)
 
 
-class ChunkEncoder:
-    """Encodes whole texts with a word tokenizer of the tokenizers library, one blank-separated chunk at a time.
+class WordEncoder:
+    """Encodes whole texts with a tokenizer of the tokenizers library.
 
-    No token of such a tokenizer spans white space, so a text's ids are its chunks' ids one after another. A chunk
-    of Latin letters alone, with or without a closing mark, is one word to the pre-tokenizer: its lower-case bytes
-    go straight to the library's model; any other chunk passes through the library's whole encoder.
+    Where the tokenizer's normaliser and pre-tokenizer are of the form known to end every token at white space, a
+    text's ids are the ids of its blank-separated chunks one after another, and only a batch's different chunks are
+    encoded. A chunk of Latin letters with or without ASCII marks after it is one word and one run of marks to that
+    pre-tokenizer: the word's lower-case bytes go straight to the library's model; marks, and any other chunk, pass
+    through the library's whole encoder.
+    Any other tokenizer gets whole texts.
     """
 
-    MARKS = frozenset(",.;:!?")
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    #: The form whose tokens end at white space.
+    NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tok, self.table, self.words = Tokenizer.from_file(path), RunTable(most), {}
+        self.tok, self.table = Tokenizer.from_file(path), RunTable(most)
+        self.vocab, self.by_chunk = self.tok.get_vocab_size(), self._ends_at_blanks()
+        if not self.by_chunk:
+            return
         level = ByteLevel(add_prefix_space=False, use_regex=False)
+        folds = lambda c: len(c.lower()) == 1 and self.tok.normalizer.normalize_str(c) == c.lower() == pc.utf8_lower(c).as_py()
+        letters = [c for c in map(chr, range(0x250)) if c.isalpha() and folds(c)]
         #: Lower-case letters below U+0250 whose NFC and lower-case forms are themselves, as the model sees them.
-        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if c.isalpha() and self.tok.normalizer.normalize_str(c) == c and c.lower() == c}
-        upper = {c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and ord(c.lower()) in self.letters and self.tok.normalizer.normalize_str(c) == c.lower()}
-        self.latin = re.compile(f"[{''.join(map(chr, self.letters))}{''.join(sorted(upper))}]+").fullmatch
-        self.vocab = self.tok.get_vocab_size()
-        self.mark_ids = {m: self.tok.encode(m, add_special_tokens=False).ids for m in self.MARKS}
-
-    def _word(self, chunk: str) -> list[int] | None:
-        low = chunk.lower()
-        if (ids := self.words.get(low)) is None and self.latin(chunk):
-            ids = self.words[low] = [t.id for t in self.tok.model.tokenize(low.translate(self.letters))]
-        return ids if ids is None or low is chunk or self.latin(chunk) else None
-
-    def _runs(self, chunks: list[str]) -> list:
-        runs, slow = [None] * len(chunks), []
-        for i, c in enumerate(chunks):
-            if not c:
-                runs[i] = []
-            elif c[-1] in self.MARKS and len(c) > 1:
-                w = self._word(c[:-1])
-                runs[i] = None if w is None else w + self.mark_ids[c[-1]]
-            else:
-                runs[i] = self._word(c)
-            if runs[i] is None:
-                slow.append(i)
-        for i, e in zip(slow, self.tok.encode_batch_fast([chunks[i] for i in slow], add_special_tokens=False) if slow else (), strict=True):
-            runs[i] = e.ids
-        return runs
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in letters if c.lower() == c}
+        self.latin = "".join(c for c in letters if ord(c.lower()) in self.letters)
+        self.simple = f"^[{self.latin}]+[!-/:-@\\[-`{{-~]*$"
+        self._clear()
+
+    def _ends_at_blanks(self) -> bool:
+        how = json.loads(self.tok.to_str())
+        parts = how["normalizer"]["normalizers"] if (how["normalizer"] or {}).get("type") == "Sequence" else [how["normalizer"]]
+        split = {"type": "Split", "pattern": {"Regex": self.SPLIT}, "behavior": "Removed", "invert": True}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        return (
+            all(p in self.NORMALIZERS for p in parts) and how["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, level]}
+            and how["post_processor"] is None and how["truncation"] is None and how["padding"] is None
+            and not any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in how["added_tokens"])
+        )
+
+    def _clear(self) -> None:
+        self.table.clear()
+        self.code: dict = {}  # words, and marks and other chunks behind a zero
+
+    def _numbers(self, distinct: pa.Array, runs, sign: str = "") -> np.ndarray:
+        """The runs' numbers of distinct strings; runs(strings) gives the ids of new ones."""
+        flat = distinct.to_numpy(zero_copy_only=False).tolist()
+        if sign:
+            flat = [sign + x for x in flat]
+        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(miss := np.flatnonzero(codes < 0)):
+            new = [flat[i] for i in miss.tolist()]
+            first = self.table.add(runs(new))
+            codes[miss] = first + np.arange(len(new))
+            self.code.update(zip(new, range(first, first + len(new)), strict=True))
+        return codes
+
+    def _words(self, words: list[str]) -> list[list[int]]:
+        model, letters = self.tok.model.tokenize, self.letters
+        return [[t.id for t in model(w.translate(letters))] for w in words]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _others(self, signed: list[str]) -> list[list[int]]:
+        return self._whole([x[1:] for x in signed])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            runs = self._whole(texts.to_pylist())
+            return np.array(list(chain.from_iterable(runs)), np.int32), np.array([len(r) for r in runs], np.int64)
         if self.table.n > self.table.most:
-            self.table.clear()
-            self.words.clear()
-        code, flat, counts = self.table.code, [], []
-        for t in texts:
-            chunks = (t or "").replace("\n", " ").split(" ")
-            counts.append(len(chunks))
-            flat.extend(chunks)
-        entries = np.fromiter(map(code.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(miss := np.flatnonzero(entries < 0)):
-            lacking = [flat[i] for i in miss.tolist()]
-            new = list(dict.fromkeys(lacking))
-            first = self.table.add(self._runs(new))
-            code.update(zip(new, range(first, first + len(new)), strict=True))
-            entries[miss] = list(map(code.get, lacking))
-        ids, lens = self.table.expand(entries)
+            self._clear()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        chunks, counts = coded.dictionary, np.diff(split.offsets.to_numpy()).astype(np.int64)
+        simple = pc.match_substring_regex(chunks, self.simple)
+        plain = simple.to_numpy(zero_copy_only=False)
+        word, mark = np.zeros(len(chunks), np.int64), np.full(len(chunks), self._numbers(pa.array([""]), self._others, "\0")[0])
+        easy = chunks.filter(simple)
+        low, ends = pc.utf8_lower(pc.utf8_rtrim(easy, self.MARKS)).dictionary_encode(), pc.utf8_ltrim(easy, self.latin).dictionary_encode()
+        word[plain] = self._numbers(low.dictionary, self._words)[low.indices.to_numpy()]
+        mark[plain] = self._numbers(ends.dictionary, self._others, "\0")[ends.indices.to_numpy()]
+        word[~plain] = self._numbers(chunks.filter(pc.invert(simple)), self._others, "\0")
+        at = coded.indices.to_numpy()
+        ids, lens = self.table.expand(np.stack([word[at], mark[at]], 1).ravel())
         sums = np.concatenate([[0], np.cumsum(lens)])
-        return ids, np.diff(sums[np.cumsum(counts, dtype=np.int64)], prepend=0) if counts else np.zeros(0, np.int64)
+        return ids, np.diff(sums[2 * np.cumsum(counts)], prepend=0) if len(counts) else counts
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
 def with_end(ids: np.ndarray, lens: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.insert(ids, np.cumsum(lens), end), lens + 1
+    out, stops = np.empty(len(ids) + len(lens), ids.dtype), np.cumsum(lens + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[stops] = False
+    out[stops], out[inner] = end, ids
+    return out, lens + 1
 
 
 MANIFEST = "part int, shard int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -253,7 +307,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shard_t
 
         number, size = 0, 0
         for b in batches:
-            ids, lens = with_end(*enc.encode(b.column(1).to_pylist()), end)
+            ids, lens = with_end(*enc.encode(b.column(1)), end)
             held.append((b.column(0).to_pylist(), lens, ids))
             size += len(ids)
             if size >= shard_tokens:

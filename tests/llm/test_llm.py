@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.llm import exact_dedup, ivf_pq, license_scan, merge_dropout, mixing, ngram_join, quality, token_file, toxicity, url_rules
-from attesta.llm.queries import RULES, TOKENIZERS
+from attesta.llm.queries import PIECE_MODEL, RULES, WORD_TOKENIZER
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, s string"
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
@@ -106,7 +107,7 @@ def test_url_rules_both_ways(spark):
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = WORD_TOKENIZER
     texts = [*ODD, *near_copies(30), "İstanbul ıß ΑΣ naïve! ÀÉ, 's THEY'LL 12a3 ﬁ á Ĳ"]
     ids = [(7 * i) % 101 for i in range(len(texts))]
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.token_digest(docs(spark, texts, ids), path, shard_tokens=500).collect()}
@@ -131,10 +132,47 @@ def test_repair_reads_at_random():
         assert (s.tokens(k) == whole).all() and (s.tokens(k, 3, 20) == whole[3:20]).all()
 
 
+@pytest.mark.parametrize("first_new", [60, 70_000])
+def test_repair_leaves_no_frequent_pair(first_new):
+    r = np.random.default_rng(2)
+    copies = [np.tile(r.integers(0, 50, 700), 40), r.integers(0, 9, 9000), np.zeros(5000, np.int64)]
+    ids, lens = np.concatenate(copies), np.array([700] * 40 + [9000, 0, 5000])
+    seq, rules, size, slices = token_file.repair(ids, lens, first_new, least=8)
+    assert (token_file.expand(seq, rules, first_new) == ids).all() and slices.sum() == len(seq)
+    inner = np.ones(len(seq), bool)
+    inner[np.cumsum(slices)[slices > 0] - 1] = False
+    pairs, n = np.unique(np.stack([seq[:-1], seq[1:]], 1)[inner[:-1]], axis=0, return_counts=True)
+    assert n[pairs[:, 0] != pairs[:, 1]].max() < 8  # equal symbols side by side overlap
+    assert size.max() >= 700
+
+
+def test_any_tokenizer_of_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_file.WordEncoder(path).by_chunk and token_file.WordEncoder(WORD_TOKENIZER).by_chunk
+    got = {r.doc_id: r.n_tokens for r in token_file.token_digest(docs(spark, ODD), path).collect()}
+    assert got == {i: 1 + len(Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(ODD)}
+
+
+def test_shingles():
+    texts = [*ODD, *near_copies(40), "a" * 3_000_000 + " b c d e f", "x y z w v x y z w v"]
+
+    def brute(t):
+        words = (t or "").translate(FOLD).encode().split()
+        return len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else 0
+
+    found = ngram_join.Shingler().sets(pa.array(texts))
+    assert [len(s) for s in found] == [brute(t) for t in texts]
+    assert all((np.diff(s.astype(object)) > 0).all() for s in found)
+    assert (found[3] == found[4]).all()  # A b, a B
+
+
 def test_merge_dropout(spark):
     import sentencepiece
 
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = PIECE_MODEL
     plain, some = merge_dropout.MergeDropout(model, 0.0), merge_dropout.MergeDropout(model, 0.3)
     texts = [*ODD, *near_copies(30), "🙂 ١٢ ﬁ x.y,z!!"]
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -153,7 +191,7 @@ def test_merge_dropout(spark):
 
 
 def test_merge_dropout_draws_each_occurrence():
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = PIECE_MODEL
     c = merge_dropout.MergeDropout(model)  # production's rate
     n, word = 4000, "pneumonia"
     ids, lens = c.encode(list(range(n)), [word] * n)
