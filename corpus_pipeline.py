@@ -10,7 +10,7 @@ from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.merge_dropout import encode_pieces
 from attesta.llm.mixing import mixed_rows
 from attesta.llm.ngram_join import ngram_join
-from attesta.llm.queries import TOKENIZERS
+from attesta.llm.queries import PIECE_MODEL
 from attesta.llm.toxicity import clean_rows, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, cut with merge-dropout; the copies of a document are cut apart."""
-    return encode_pieces(docs, f"{TOKENIZERS}/piece_bpe_32k.model", copy_col="copy" if "copy" in docs.columns else None)
+    return encode_pieces(docs, PIECE_MODEL, copy_col="copy" if "copy" in docs.columns else None)
 
 
 STAGES = [
