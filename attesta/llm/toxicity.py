@@ -8,9 +8,10 @@ that of its highest window. Nothing but the text is read when scoring.
 Training is multiple-instance: of a toxic document the highest window counts as toxic, of a clean one all windows
 are clean (the highest one and two drawn ones are trained). Word and n-gram vectors start from shrunken log-odds of
 their buckets in the sample. The sample is bounded: at most `sample` toxic and twice as many clean labelled documents, those with
-the smallest keyed hashes among rows that are not held out.
+the smallest keyed hashes among rows that are not held out; of rows that repeat an id the least text is read.
 
-Edge cases: null and empty texts, and texts of white space, have one empty window and so a score; a labelled
+Edge cases: null and empty texts, and texts of white space, have one empty window and so a score; very long texts are
+read to their end; columns of other names are not looked at; a row without a doc_id is scored, and not held out; a labelled
 document without a row is left out; contradicting labels of a document count as toxic; without both labels in the
 sample every score is 0; an empty table gives an empty result; repeated rows are scored alike.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import small_batches
+from attesta.llm.tokens import split_words
 
 WINDOW, STRIDE, HIDDEN, DIM = 64, 48, 8, 4
 WORD_BITS, GRAM_BITS = 18, 16
@@ -155,28 +157,28 @@ class Net:
 class Reader:
     """Turns texts into windows of word numbers, with a bounded memo of words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.code, self.fresh = {}, []
 
-    def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(windows x WINDOW) word numbers, -1 past the end; the text of each window."""
-        self.fresh, flat, lens = [], [], []
-        for t in texts:
-            w = (t or "").split()
-            lens.append(len(w))
-            flat.extend(w)
-        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(miss := np.flatnonzero(codes < 0)):
-            lacking = [flat[i] for i in miss.tolist()]
-            self.fresh = list(dict.fromkeys(lacking))
-            self.code.update(zip(self.fresh, range(len(self.code), len(self.code) + len(self.fresh)), strict=True))
-            codes[miss] = list(map(self.code.get, lacking))
+        words, at, lens = split_words(texts)
+        own = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.array([i for i in np.flatnonzero(own < 0).tolist() if words[i]], np.int64)
+        self.fresh = [words[i] for i in miss.tolist()]
+        own[miss] = len(self.code) + np.arange(len(miss))
+        self.code.update(zip(self.fresh, own[miss].tolist(), strict=True))
+        codes = own[at]
+        if "" in words:  # white space before or after a text
+            real = codes >= 0
+            lens = np.diff(np.concatenate([[0], np.cumsum(real)])[np.cumsum(lens)], prepend=0)
+            codes = codes[real]
         begins, starts, ends, owner = np.cumsum([0, *lens]), [], [], []
-        for i, n in enumerate(lens):
+        for i, n in enumerate(lens.tolist()):
             w = windows_of(n)
             starts.extend(begins[i] + x for x in w)
             ends.extend([begins[i + 1]] * len(w))
@@ -187,11 +189,11 @@ class Reader:
         return padded[np.where(inside, at, len(codes))], np.array(owner, np.int64)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int | None = None, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Net:
-    """A trained net. The sample is read whole: all windows of all its texts. Small samples get more epochs."""
-    epochs = epochs or int(np.clip(12_000 // max(1, len(texts)), 4, 24))
+def fit(texts: list[str | None], labels: np.ndarray, steps: int = 200, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Net:
+    """A net trained by `steps` gradient steps, as many at every size; without steps only its seeded vectors and drawn
+    weights are there. The sample is read whole: all windows of all its texts."""
     net, reader, rng = Net(seed), Reader(1 << 40), np.random.default_rng(seed)
-    parts = [(k, *reader.windows(texts[k : k + 200])) for k in range(0, len(texts), 200)]
+    parts = [(k, *reader.windows(pa.array(texts[k : k + 200], pa.string()))) for k in range(0, len(texts), 200)]
     win, owner = np.concatenate([w for _, w, _ in parts]), np.concatenate([k + o for k, _, o in parts])
     bucket, grams, counts = word_parts(list(reader.code) or [""])
     begin = np.cumsum(counts) - counts
@@ -212,14 +214,14 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int | None = None,
     state = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in net.p.items()}
     sparse = {"words": np.zeros(1 << WORD_BITS, np.float32), "grams": np.zeros(1 << GRAM_BITS, np.float32)}
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         top = np.full(len(texts), -1)
         order = np.argsort(score, kind="stable")
         top[owner[order]] = order  # the last one, so the highest
         extra = np.flatnonzero(labels[owner] == 0)
         extra = rng.choice(extra, min(len(extra), 2 * int((labels == 0).sum())), replace=False)
         train = rng.permutation(np.unique(np.concatenate([top, extra])))
-        for k in range(0, len(train), batch):
+        for k in range(0, min(len(train), (steps - step) * batch), batch):
             rows = train[k : k + batch]
             w, y = win[rows].T, labels[owner[rows]].astype(np.float32)
             used, at = np.unique(w, return_inverse=True)
@@ -278,7 +280,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score_windows(net: Net, win: np.ndarray, vectors: np.ndarray, block: int = 1024) -> np.ndarray:
-    pre = {d: np.empty((len(vectors) + 1, 3 * HIDDEN), np.float32) for d in "fb"}
+    pre = {d: np.zeros((len(vectors) + 1, 3 * HIDDEN), np.float32) for d in "fb"}
     for d in "fb":
         np.matmul(vectors, net.p[f"X{d}"], out=pre[d][:-1])
         pre[d] += net.p[f"c{d}"]
@@ -299,7 +301,7 @@ def _score(net: Net, win: np.ndarray, pre: dict, block: int = 1024) -> np.ndarra
 class Scorer:
     """Scores texts; the gates' input parts of known words are kept."""
 
-    def __init__(self, net: Net, most: int = 300_000):
+    def __init__(self, net: Net, most: int = 150_000):
         self.net, self.reader, self.most = net, Reader(most), most
         self.clear()
 
@@ -309,7 +311,7 @@ class Scorer:
         for d in "fb":
             self.pre[d][-1] = self.net.p[f"c{d}"]
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         if self.n > self.most:
             self.clear()
         win, owner = self.reader.windows(texts)
@@ -335,15 +337,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> Net | None:
     there = one.join(texts.select("doc_id"), "doc_id", "left_semi")
     ids = [r for y in (0, 1) for r in there.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample * (2 - y)).collect()]
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids], "doc_id long, y int")
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect(), key=lambda r: (r.doc_id, r.text or ""))
+    one_text = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted(one_text.collect(), key=lambda r: r.doc_id)  # as many as the sample has
     y = np.array([r.y for r in rows], np.int64)
     return fit([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def score_toxicity(docs: DataFrame, net: Net | None, key: str = "toxicity") -> DataFrame:
+def score_toxicity(docs: DataFrame, net: Net | None) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted. Nothing is shuffled."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -352,7 +352,7 @@ def score_toxicity(docs: DataFrame, net: Net | None, key: str = "toxicity") -> D
     def run(batches) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for b in batches:
-            s = scorer.score(b.column(2).to_pylist()) if scorer else np.zeros(len(b))
+            s = scorer.score(b.column(2)) if scorer else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     doc_id = F.col("doc_id").cast("long")
@@ -369,6 +369,6 @@ def clean_rows(docs: DataFrame, net: Net | None) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value) if shared.value else None
         for b in batches:
-            yield b.filter(pa.array(scorer.score(b.column(at).to_pylist()) < 0.5)) if scorer else b
+            yield b.filter(pa.array(scorer.score(b.column(at)) < 0.5)) if scorer else b
 
     return docs.mapInArrow(run, docs.schema)
