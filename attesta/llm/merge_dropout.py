@@ -35,6 +35,8 @@ from attesta.llm.tokens import RunTable, gather
 BLANK = "▁"
 MASK = (1 << 64) - 1
 WIDE = 24
+#: The unit of a literal U+2581; no other unit holds two line breaks.
+MARK = "\n\n"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -44,7 +46,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class MergeDropout:
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 1_000_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -65,8 +67,10 @@ class MergeDropout:
         self.raw_starts = np.cumsum(self.raw_lens) - self.raw_lens
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.size, joined = n, [p for p in self.id if len(p) > 1]
-        splits = sorted((self.id[p[:i]] * n + self.id[p[i:]], self.id[p]) for p in joined for i in range(1, len(p)) if p[:i] in self.id and p[i:] in self.id)
-        self.pairs, self.makes = np.array([x for x, _ in splits] or [-1], np.int64), np.array([x for _, x in splits] or [-1], np.int64)
+        self._joins({self.id[p[:i]] * n + self.id[p[i:]]: self.id[p] for p in joined for i in range(1, len(p)) if p[:i] in self.id and p[i:] in self.id})
+        part = np.arange(32, dtype=np.uint64)
+        #: What a candidate's (begin, mid, stop), five bits each, adds to the key.
+        self.salts = (part[:, None, None] * np.uint64(0xD6E8FEB86659FD93) + part[:, None] * np.uint64(0xE7037ED1A0B428DB) + part * np.uint64(0xA0761D6478BD642F)).ravel()
         self.rank = np.array([sp.get_score(i) for i in range(n)])
         self.of_char = np.full(0x110000, -1, np.int64)
         for p, i in self.id.items():
@@ -78,13 +82,32 @@ class MergeDropout:
         self.table = RunTable(most)
         self._clear()
 
+    def _joins(self, makes: dict[int, int]) -> None:
+        """A hash table from pairs of pieces to the piece that they make; a pair stands at its slot or soon after."""
+        bits = max(10, (6 * len(makes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.pairs, self.makes = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, -1, np.int64)
+        keys, values = np.array(list(makes), np.int64), np.array(list(makes.values()), np.int64)
+        at, self.probes = self._slot(keys), 0
+        while len(keys):
+            free = self.pairs[at] < 0
+            own = np.zeros(len(keys), bool)
+            own[np.unique(at, return_index=True)[1]] = True
+            own &= free
+            self.pairs[at[own]], self.makes[at[own]] = keys[own], values[own]
+            keys, values, at = keys[~own], values[~own], at[~own] + 1
+            self.probes += 1
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def _clear(self) -> None:
-        """Nodes of the trees: what a candidate's span adds to the key, and at 2 * node + (0 kept, 1 skipped) what comes
-        next: a node, -1 where not seen yet, or -2 - run. A unit's root has the first candidate or the run at 0."""
+        """Nodes of the trees: a candidate's span, and at 2 * node + (0 kept, 1 skipped) what comes next: a node, -1
+        where not seen yet, or -2 - run. A unit's root has the first candidate or the run at 0."""
         self.table.clear()
         self.code: dict = {}
         self.root, self.unit_key, self.long = np.zeros(1024, np.int64), np.zeros(1024, np.uint64), np.zeros(1024, bool)
-        self.n_nodes, self.salt, self.child = 0, np.zeros(4096, np.uint64), np.full(8192, -1, np.int64)
+        self.n_nodes, self.span, self.child = 0, np.zeros(4096, np.int16), np.full(8192, -1, np.int32)
 
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_id[b] for b in text.encode()]
@@ -98,9 +121,13 @@ class MergeDropout:
         return ((h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF)) < np.uint64(self.limit)
 
     def segment(self, unit: str, variant: int = 0, trace: list | None = None) -> list[int]:
-        """Ids of one unit by an agenda: for units that are long or hold characters outside the vocabulary. The variant
-        is the occurrence's hash; a trace takes (span, skipped) of each candidate that comes up."""
-        n, score, limit, key = len(unit), self.score, self.limit, self._key(unit, variant)
+        """Ids of one unit by an agenda; the variant is the occurrence's hash."""
+        return self._segment(unit, self._key(unit, variant), trace)
+
+    def _segment(self, unit: str, key: int, trace: list | None = None) -> list[int]:
+        """For units that are long or hold characters outside the vocabulary. A trace takes (span, skipped) of each
+        candidate that comes up."""
+        n, score, limit = len(unit), self.score, self.limit
         begin, end = list(range(n)), list(range(1, n + 1))  # symbol i covers unit[begin[i]:end[i]]; dead ones have end 0
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, int, int, int]] = []
@@ -121,7 +148,7 @@ class MergeDropout:
                 h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & MASK
                 skipped = (h ^ (h >> 32)) & 0xFFFFFFFF < limit
                 if trace is not None:
-                    trace.append((span, skipped))
+                    trace.append(((begin[a] * 32 + mid) * 32 + stop, skipped))
                 if skipped:
                     continue
             end[a], end[b], right[a] = end[b], 0, right[b]
@@ -139,41 +166,61 @@ class MergeDropout:
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces make, or -1."""
-        pair = a * self.size + b
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == pair) & (a >= 0) & (b >= 0), self.makes[at], -1)
+        out = np.full(a.shape, -1, np.int64)
+        todo = np.flatnonzero(((a >= 0) & (b >= 0)).ravel())
+        pair = a.ravel()[todo] * self.size + b.ravel()[todo]
+        at = self._slot(pair)
+        for _ in range(self.probes):
+            there = self.pairs[at]
+            hit = there == pair
+            out.ravel()[todo[hit]] = self.makes[at[hit]]
+            on = ~hit & (there >= 0)
+            todo, pair, at = todo[on], pair[on], at[on] + 1
+            if not len(todo):
+                break
+        return out
 
-    def segment_all(self, units: list[str], variants: list[int], traces: list | None = None) -> list:
-        """Ids of many units; the agendas of those of up to WIDE known characters advance side by side, a candidate each."""
-        out: list = [None] * len(units)
+    def segment_all(self, units: list[str], variants: list[int]) -> list[list[int]]:
+        ids, lens, *_ = self._segment_all(units, np.array([self._key(u, v) for u, v in zip(units, variants, strict=True)], np.uint64))
+        ends = np.cumsum(lens).tolist()
+        return [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _segment_all(self, units: list[str], keys: np.ndarray) -> tuple:
+        """Ids of many units, one unit after another, and each unit's number of ids; spans and skips of the candidates that
+        came up, and each unit's number of these (left out for units over WIDE characters, which have no tree). The agendas
+        of units of up to WIDE known characters advance side by side, a candidate each."""
         chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         lens = np.fromiter(map(len, units), np.int64, len(units))
         syms = self.of_char[chars]
         starts = np.cumsum(lens) - lens
         known = np.minimum.reduceat(syms, starts) >= 0 if len(units) else np.zeros(0, bool)
         rows = np.flatnonzero(known & (lens <= WIDE))
-        for i in np.flatnonzero(~known | (lens > WIDE)).tolist():
-            out[i] = self.segment(units[i], variants[i], None if traces is None else traces[i])
+        found: list[tuple] = []
+        alone = np.flatnonzero(~known | (lens > WIDE))
+        if len(alone):
+            runs, traces = [], []
+            for i in alone.tolist():
+                traces.append([])
+                runs.append(self._bytes(BLANK) if units[i] == MARK else self._segment(units[i], int(keys[i]), traces[-1] if lens[i] <= WIDE else None))
+            rest = [x for t in traces for x in t]
+            found.append((alone, np.array([x for r in runs for x in r], np.int64), np.array([len(r) for r in runs], np.int64),
+                          np.array([x for x, _ in rest], np.int64), np.array([x for _, x in rest], bool), np.array([len(t) for t in traces], np.int64)))
         rows = rows[np.argsort(lens[rows], kind="stable")]
         for k in range(0, len(rows), 20_000):
             part = rows[k : k + 20_000]
-            steps: list = []
-            for i, ids in zip(part.tolist(), self._side_by_side([units[i] for i in part], [variants[i] for i in part], syms, starts[part], lens[part], steps), strict=True):
-                out[i] = ids
-            if traces is not None and steps:
-                rows_at, spans, skipped = (np.concatenate(x) for x in zip(*steps, strict=True))
-                order = np.argsort(rows_at, kind="stable")
-                pairs = list(zip(spans[order].tolist(), skipped[order].tolist(), strict=True))
-                ends = np.cumsum(np.bincount(rows_at, minlength=len(part))).tolist()
-                for i, a, b in zip(part.tolist(), [0, *ends[:-1]], ends, strict=True):
-                    traces[i].extend(pairs[a:b])
-        return out
-
-    def _side_by_side(self, units, variants, syms, starts, lens, steps: list) -> list:
-        u, w = len(units), int(lens.max())
+            found.append((part, *self._side_by_side(keys[part], syms, starts[part], lens[part])))
+        if not found:
+            return (np.zeros(0, np.int64),) * 5
+        who, ids, n, spans, skipped, steps = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(who, kind="stable")
+        ids = ids[gather((np.cumsum(n) - n)[order], n[order])]
+        at = gather((np.cumsum(steps) - steps)[order], steps[order])
+        return ids, n[order], spans[at], skipped[at], steps[order]
+
+    def _side_by_side(self, key, syms, starts, lens) -> tuple:
+        u, w, steps = len(lens), int(lens.max()), []
         cols = np.arange(w)
         sym = np.where(cols < lens[:, None], syms[np.minimum(starts[:, None] + cols, len(syms) - 1)], -1)
-        key = np.array([self._key(x, v) for x, v in zip(units, variants, strict=True)], np.uint64)
         begin = np.broadcast_to(cols, (u, w))
         end, nxt, prv = begin + 1, begin + 1, begin - 1
         end, nxt, prv = end.copy(), nxt.copy(), prv.copy()
@@ -198,8 +245,8 @@ class MergeDropout:
                 break
             r, b = live, nxt[live, a]
             if self.limit:
-                span = a.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end[r, b].astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + end[r, a].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
-                skipped = self._skips(key[r] + span)
+                span = (a * 32 + end[r, a]) * 32 + end[r, b]
+                skipped = self._skips(key[r] + self.salts[span])
                 steps.append((r, span, skipped))
                 score[r[skipped], a[skipped]] = -np.inf
                 r, a, b = r[~skipped], a[~skipped], b[~skipped]
@@ -213,55 +260,58 @@ class MergeDropout:
             p = prv[r, a]
             has = p >= 0
             propose(r[has], p[has], a[has])
-        flat = sym[sym >= 0].tolist()
-        ends = np.cumsum((sym >= 0).sum(1)).tolist()
-        return [flat[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        if not steps:
+            return sym[sym >= 0], (sym >= 0).sum(1), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(u, np.int64)
+        rows, spans, skips = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.argsort(rows, kind="stable")
+        return sym[sym >= 0], (sym >= 0).sum(1), spans[order], skips[order], np.bincount(rows, minlength=u)
 
     def _split(self, text: str | None) -> list[str]:
         if not text:
             return []
         if BLANK in text:  # a literal U+2581: its bytes, so that it does not come back as a blank
             parts = (BLANK + text.replace(BLANK, "\0\0").replace(" ", BLANK)).split("\0\0")
-            return [u for i, p in enumerate(parts) for u in ([("", BLANK)] if i else []) + self.units.findall(p)]
+            return [u for i, p in enumerate(parts) for u in ([MARK] if i else []) + self.units.findall(p)]
         return self.units.findall(BLANK + text.replace(" ", BLANK))
 
     def _nodes(self, n: int) -> int:
         """Room for n further nodes; the number of the first."""
         first, self.n_nodes = self.n_nodes, self.n_nodes + n
-        while self.n_nodes > len(self.salt):
-            self.salt, self.child = np.concatenate([self.salt, np.zeros_like(self.salt)]), np.concatenate([self.child, np.full_like(self.child, -1)])
+        while self.n_nodes > len(self.span):
+            self.span, self.child = np.concatenate([self.span, np.zeros_like(self.span)]), np.concatenate([self.child, np.full_like(self.child, -1)])
         return first
 
-    def _codes(self, flat: list) -> np.ndarray:
+    def _codes(self, flat: list[str]) -> np.ndarray:
         """A number for each unit; new units get a root."""
-        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = np.fromiter(map(self.code.get, units, repeat(-1)), np.int64, len(units))
         if len(miss := np.flatnonzero(codes < 0)):
-            lacking = [flat[i] for i in miss.tolist()]
-            new, first = list(dict.fromkeys(lacking)), len(self.code)
+            new, first = [units[i] for i in miss.tolist()], len(self.code)
+            codes[miss] = np.arange(first, first + len(new))
             self.code.update(zip(new, range(first, first + len(new)), strict=True))
-            codes[miss] = list(map(self.code.get, lacking))
             while len(self.code) > len(self.root):
                 self.root, self.unit_key, self.long = (np.concatenate([x, np.zeros_like(x)]) for x in (self.root, self.unit_key, self.long))
             at = slice(first, first + len(new))
             self.root[at] = self._nodes(len(new)) + np.arange(len(new))
-            self.unit_key[at] = [0 if isinstance(u, tuple) else zlib.crc32(u.encode(), self.seed) << 20 for u in new]
-            self.long[at] = [bool(self.limit) and isinstance(u, str) and len(u) > WIDE for u in new]
-        return codes
+            self.unit_key[at] = [zlib.crc32(u.encode(), self.seed) << 20 for u in new]
+            self.long[at] = [bool(self.limit) and len(u) > WIDE for u in new]
+        return codes[coded.indices.to_numpy()]
 
-    def _runs(self, flat: list, codes: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    def _runs(self, flat: list[str], codes: np.ndarray, draw: np.ndarray) -> np.ndarray:
         """The run of each occurrence: it walks its unit's tree as far as that is known, then the tree is extended."""
         key = self.unit_key[codes] ^ ((draw + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         slot, depth, out = 2 * self.root[codes], np.zeros(len(codes), np.int64), np.full(len(codes), -1, np.int64)
         if len(long := np.flatnonzero(self.long[codes])):
-            runs = self.segment_all([flat[i] for i in long.tolist()], draw[long].tolist())
-            out[long] = self.table.add(runs) + np.arange(len(long))
+            ids, lens, *_ = self._segment_all([flat[i] for i in long.tolist()], key[long])
+            out[long] = self.table.add_flat(ids, lens) + np.arange(len(long))
         todo = np.flatnonzero(out < 0)
         while len(todo):
             to = self.child[slot[todo]]
             live = np.flatnonzero(to >= 0)
             while len(live):
                 node, i = to[live], todo[live]
-                slot[i] = 2 * node + self._skips(key[i] + self.salt[node])
+                slot[i] = 2 * node.astype(np.int64) + self._skips(key[i] + self.salts[self.span[node]])
                 depth[i] += 1
                 to[live] = self.child[slot[i]]
                 live = live[to[live] >= 0]
@@ -269,33 +319,29 @@ class MergeDropout:
             todo = todo[to == -1]
             if len(todo):
                 ends, first = np.unique(slot[todo], return_index=True)
-                self._extend(flat, draw, todo[first], ends, depth)
+                self._extend([flat[i] for i in todo[first].tolist()], key[todo[first]], ends, depth[todo[first]])
         return out
 
-    def _extend(self, flat: list, draw: np.ndarray, at: np.ndarray, ends: np.ndarray, depth: np.ndarray) -> None:
-        """Adds the paths of the occurrences `at`, each of which left its tree at another end."""
-        units, traces = [flat[i] for i in at.tolist()], [[] for _ in at]
-        runs = self.segment_all(["\n" if isinstance(u, tuple) else u for u in units], draw[at].tolist(), traces)
-        for i, u in enumerate(units):
-            if isinstance(u, tuple):
-                runs[i] = self._bytes(BLANK)
-        leaf = -2 - (self.table.add(runs) + np.arange(len(at)))
-        rest = [x for t, d in zip(traces, depth[at].tolist(), strict=True) for x in t[d:]]
-        lens = np.fromiter(map(len, traces), np.int64, len(traces)) - depth[at]
+    def _extend(self, units: list[str], keys: np.ndarray, ends: np.ndarray, depth: np.ndarray) -> None:
+        """Adds the paths of occurrences of units, each of which left its tree at another end, so deep."""
+        ids, lens, spans, skipped, steps = self._segment_all(units, keys)
+        leaf = -2 - (self.table.add_flat(ids, lens) + np.arange(len(units)))
+        lens = steps - depth
+        rest = gather(np.cumsum(steps) - lens, lens)
         node = self._nodes(len(rest)) + np.arange(len(rest))
         stop = np.cumsum(lens)
         some = lens > 0
         self.child[ends] = leaf
         if len(rest):
             self.child[ends[some]] = node[(stop - lens)[some]]
-            self.salt[node] = np.array([x for x, _ in rest], np.uint64)
+            self.span[node] = spans[rest]
             to = node + 1
             to[stop[some] - 1] = leaf[some]
-            self.child[2 * node + np.array([x for _, x in rest], np.int64)] = to
+            self.child[2 * node + skipped[rest]] = to
 
     def encode(self, doc_ids: list, texts: list[str | None], copies: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids. Copies of a document are drawn apart by their numbers."""
-        if max(self.table.n, self.n_nodes // 4, self.table.used // 16) > self.table.most:
+        if max(self.table.n, self.n_nodes // 5, self.table.used // 16) > self.table.most:
             self._clear()
         flat, sizes = [], []
         for t in texts:
