@@ -127,6 +127,8 @@ class MergeDropout:
     def _segment(self, unit: str, key: int, trace: list | None = None) -> list[int]:
         """For units that are long or hold characters outside the vocabulary. A trace takes (span, skipped) of each
         candidate that comes up."""
+        if unit == MARK:
+            return self._bytes(BLANK)
         n, score, limit = len(unit), self.score, self.limit
         begin, end = list(range(n)), list(range(1, n + 1))  # symbol i covers unit[begin[i]:end[i]]; dead ones have end 0
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -201,7 +203,7 @@ class MergeDropout:
             runs, traces = [], []
             for i in alone.tolist():
                 traces.append([])
-                runs.append(self._bytes(BLANK) if units[i] == MARK else self._segment(units[i], int(keys[i]), traces[-1] if lens[i] <= WIDE else None))
+                runs.append(self._segment(units[i], int(keys[i]), traces[-1] if lens[i] <= WIDE else None))
             rest = [x for t in traces for x in t]
             found.append((alone, np.array([x for r in runs for x in r], np.int64), np.array([len(r) for r in runs], np.int64),
                           np.array([x for x, _ in rest], np.int64), np.array([x for _, x in rest], bool), np.array([len(t) for t in traces], np.int64)))
