@@ -56,21 +56,39 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_bits: int = 28) -> DataFrame:
-    """The rows of docs whose id is not among gone(id). A bitmap of the hashes of the ids that go, of at most
-    2^most_bits bits (32 MB), is broadcast; rows that it clears pass as they are, and only the others are joined."""
-    gone = saved(gone.select(F.col("id").alias("__gone")).where("__gone is not null").distinct(), "gone")
-    n = gone.count()
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of an id and a text; null is a value of its own."""
+    told = (doc_id.isNull(), text.isNull(), doc_id, text)
+    return F.xxhash64(*told), F.xxhash64(F.lit(1), *told)
+
+
+def thinned(docs: DataFrame, key: tuple[Column, Column], acts: DataFrame, most_bits: int = 28) -> DataFrame:
+    """The rows of docs but those whose key acts(k1, k2, stay) names; of these one row of each key with stay = 1 (the
+    least by its columns). A bitmap of the named keys' hashes, of at most 2^most_bits bits (32 MB), is broadcast; rows
+    that it clears pass as they are, and only the others are joined. Columns of docs may have any names."""
+    acts = saved(acts.select("k1", "k2", F.col("stay").cast("int").alias("stay")), "acts")
+    n, one = acts.agg(F.count(F.lit(1)), F.max("stay")).first()
     if not n:
         return docs
     bits = min(most_bits, max(20, (16 * n).bit_length()))
-    h = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
-    place = F.expr("__h & 32767")
-    marks = gone.select(h("__gone").alias("__h")).groupBy(F.shiftright("__h", 15).alias("__part")).agg(F.bitmap_construct_agg(place).alias("__bits"))
-    marks = F.broadcast(saved(marks, "gone-bits"))
-    rows = docs.withColumn("__h", F.coalesce(h(id_col), F.lit(-1))).join(marks, F.shiftright("__h", 15) == F.col("__part"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__h & 7 as int))")) != 0, F.lit(False))
-    rows = rows.withColumn("__hit", hit)
-    maybe = rows.where("__hit").select(*docs.columns)
-    return rows.where("not __hit").select(*docs.columns).unionByName(maybe.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
+    slot = F.pmod(F.xxhash64("k1", "k2"), F.lit(1 << bits))
+    place = F.expr("slot & 32767")
+    marks = acts.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    marks = F.broadcast(saved(marks, "acts-bits"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key[0].alias("k1"), key[1].alias("k2")).withColumn("slot", F.coalesce(slot, F.lit(-1)))
+    rows = rows.join(marks, F.shiftright("slot", 15) == F.col("part"), "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    rows = rows.withColumn("hit", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(slot & 7 as int))")) != 0, F.lit(False)))
+    maybe = rows.where("hit").select("row", "k1", "k2")
+    out = rows.where("not hit").select("row.*").unionByName(maybe.join(acts, ["k1", "k2"], "left_anti").select("row.*"))
+    if one:
+        alike = maybe.join(acts.where("stay = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
+        out = out.unionByName(alike.groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*"))
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most_bits: int = 28) -> DataFrame:
+    """The rows of docs whose id is not among gone(id), see thinned(). Rows without an id stay."""
+    none = F.lit(0).cast("long")
+    acts = gone.where("id is not null").select(F.col("id").cast("long").alias("k1"), none.alias("k2"), F.lit(0).alias("stay")).distinct()
+    return thinned(docs, (F.col(id_col).cast("long"), F.when(F.col(id_col).isNotNull(), none)), acts, most_bits)

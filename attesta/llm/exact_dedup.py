@@ -7,8 +7,9 @@ whose merged counter is above one route their texts, and only those, to byte ver
 
 A fingerprint collision only routes a text to verification; it never joins different texts.
 
-Edge cases: a null text counts as empty; an empty table gives an empty result; repeated rows form one group. Rows
-that repeat the largest doc_id of a group all stay; a null doc_id stays only where a group has no other doc_id.
+Edge cases: a null text counts as empty; very long texts are compared whole; an empty table gives an empty result;
+repeated rows form one group. Exactly one row of a group stays: of rows that repeat its largest doc_id any one; a null
+doc_id stays only where a group has no other doc_id. Columns of `docs` but the two named may have any names.
 """
 
 from __future__ import annotations
@@ -44,9 +45,24 @@ class CountingQuotientFilter:
     def fingerprints(self) -> np.ndarray:
         return (np.repeat(self.quotients.astype(np.uint64), self.runs) << np.uint64(REMAINDER_BITS)) | self.remainders
 
+    def plus(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Both filters in one: the sorted remainders of each run are merged, equal ones add their counters."""
+        mine, theirs = self.fingerprints(), other.fingerprints()
+        at = np.searchsorted(mine, theirs)
+        same = mine[np.minimum(at, len(mine) - 1)] == theirs if len(mine) else np.zeros(len(theirs), bool)
+        counts = self.counts.copy()
+        counts[at[same]] += other.counts[same]
+        fp, counts = np.insert(mine, at[~same], theirs[~same]), np.insert(counts, at[~same], other.counts[~same])
+        high = (fp >> np.uint64(REMAINDER_BITS)).astype(np.uint32)
+        first = np.flatnonzero(np.diff(high, prepend=np.uint32(0)).astype(bool) | (np.arange(len(high)) == 0))
+        return CountingQuotientFilter(high[first], np.diff(first, append=len(high)).astype(np.uint32), (fp & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts)
+
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        return cls.of(np.concatenate([f.fingerprints() for f in filters]), np.concatenate([f.counts for f in filters]))
+        """All filters in one, two at a time."""
+        while len(filters) > 1:
+            filters = [a.plus(b) for a, b in zip(filters[::2], filters[1::2], strict=False)] + filters[len(filters) // 2 * 2 :]
+        return filters[0]
 
     def blocks(self, bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         """The filter cut by the highest bits of the quotient."""
@@ -95,13 +111,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per task. The join that hands each copy its group's result is a sort-merge join whose skewed keys Spark splits.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold_ascii(F.col(text_col)).alias("norm"))
-    prints = saved(text.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), fingerprint(F.col("norm")).alias("fp")), "dedup-prints")
+    prints = text.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), fingerprint(F.col("norm")).alias("fp"))
+    prints = saved(prints.withColumn("number", F.monotonically_increasing_id()), "dedup-prints")
     repeated = saved(repeated_fingerprints(prints, prints.count()), "dedup-repeated")
     routed = text.withColumn("fp", fingerprint(F.col("norm"))).join(repeated.select("fp"), "fp", "left_semi")
     verified = saved(
         routed.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size"), "dedup-groups")
-    group = prints.join(verified, "text_sha256", "left")
-    size = F.coalesce("group_size", F.lit(1)).cast("long")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return group.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    alone = F.col("group_size").isNull()
+    judged = prints.join(verified, "text_sha256", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "number")
+    judged = saved(judged, "dedup-judged")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # where rows repeat the id that stays, one of them does
+    ties = judged.where((F.col("group_size") > 1) & stays).groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("only")).where("n > 1")
+    judged = judged.join(saved(ties.select("text_sha256", "only"), "dedup-ties"), "text_sha256", "left")
+    return judged.select("doc_id", "keep_id", "group_size", (stays & (F.col("only").isNull() | (F.col("only") == F.col("number")))).alias("kept"), "text_sha256")

@@ -81,10 +81,11 @@ SELECT u.page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM u
     "op5_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size, sha256(norm) AS text_sha256 FROM t GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (norm)""",
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND row_number() OVER (PARTITION BY norm, doc_id ORDER BY doc_id) = 1 AS kept, text_sha256
+FROM t JOIN g USING (norm)""",
     "op8_source_mix": f"""
 WITH sized AS (SELECT doc_id, source, {_WORDS}::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w FROM totals),
 caps AS (SELECT *, 2 * source_size AS cap, (2 * source_size)::DOUBLE / w AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM ranked),
@@ -92,10 +93,11 @@ levels AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NU
     / (sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl FROM caps),
 targets AS (SELECT source, source_size, CASE WHEN lvl < ratio THEN (max(CASE WHEN lvl < ratio THEN lvl END) OVER ()) * w ELSE cap::DOUBLE END AS target FROM levels),
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS full_times FROM targets),
-edges AS (SELECT *, target - full_times * source_size AS rest, sum(n) OVER (PARTITION BY source ORDER BY h) AS cum
-    FROM (SELECT source, h, sum(size) AS n FROM sized GROUP BY ALL) JOIN plan p USING (source)),
-cut AS (SELECT source, min(h) AS edge, arg_min(cum - n, h) AS below, arg_min(n, h) AS edge_n, arg_min(rest, h) AS rest FROM edges WHERE cum > rest GROUP BY source)
-SELECT doc_id, size, p.source_size, target, ((full_times + CASE WHEN h < edge OR (h = edge AND 2 * (rest - below) >= edge_n AND edge_n > 0) THEN 1 ELSE 0 END) * size)::BIGINT AS taken,
-    (full_times + CASE WHEN h < edge OR (h = edge AND 2 * (rest - below) >= edge_n AND edge_n > 0) THEN 1 ELSE 0 END)::BIGINT AS times, s.source
-FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source""",
+edges AS (SELECT e.*, target - full_times * source_size AS rest, sum(n) OVER (PARTITION BY e.source ORDER BY h) AS cum
+    FROM (SELECT source, h, sum(size) AS n, count(*) AS rows FROM sized GROUP BY ALL) e JOIN plan p ON e.source IS NOT DISTINCT FROM p.source),
+cut AS (SELECT source, min(h) AS edge, arg_min(floor((rest - cum + n) * rows / n + 0.5), h) AS first_rows FROM edges WHERE cum > rest GROUP BY source),
+judged AS (SELECT doc_id, size, p.source_size, target, s.source, least(2, full_times + CASE WHEN h < edge
+        OR (h = edge AND row_number() OVER (PARTITION BY s.source, h ORDER BY doc_id) <= first_rows) THEN 1 ELSE 0 END)::BIGINT AS times
+    FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN cut c ON s.source IS NOT DISTINCT FROM c.source)
+SELECT doc_id, size, source_size, target, (times * size)::BIGINT AS taken, times, source FROM judged""",
 }

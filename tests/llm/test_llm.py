@@ -1,7 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels, and their edge cases."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -48,6 +47,13 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_keeps_one_row_of_each_group(spark):
+    rows = [(5, "Same"), (5, "same"), (5, "same"), (4, "same"), (None, "same"), (None, "none"), (None, "none"), (None, None), (6, "other"), (6, "another")]
+    found = exact_dedup.exact_dedup(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    kept = sorted((str(r.doc_id), r.group_size) for r in found if r.kept)
+    assert len(found) == len(rows) and kept == [("5", 5), ("6", 1), ("6", 1), ("None", 1), ("None", 2)]
+
+
 def test_quotient_filters_merge_losslessly():
     r = np.random.default_rng(0)
     parts = [r.integers(0, 1 << 12, 500).astype(np.uint64) << np.uint64(30) for _ in range(5)]
@@ -87,6 +93,22 @@ def test_mix_nears_its_targets(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [None, ""])).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_splits_repeated_rows(spark):
+    rows = [(None, "a b c d e", "en", "one", 1, 1, "x")] * 400 + [(7, "w " * 10, "en", None, 1, 1, "x")] * 300 + [(i, "q r s", "en", "two", 1, 1, "x") for i in range(200)] + [(None, None, "en", "two", 1, 1, "x"), (1, "", "en", "two", 1, 1, "x")]
+    d = spark.createDataFrame(rows, DOC).repartition(5)
+    found, times = mixing.mix(d).collect(), []
+    for source in ("one", "two", None):
+        part = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= max(r.size for r in part) / 2 + 1e-9
+        assert max(r.times for r in part) <= 2
+        times.append(sum(r.times for r in part))
+    again = sorted((str(r.doc_id), str(r.source), r.times) for r in mixing.mix(d.repartition(3)).collect())
+    assert again == sorted((str(r.doc_id), str(r.source), r.times) for r in found)
+    copies = mixing.mixed_rows(d, copy_col="copy").collect()
+    assert [sum(r.source == s for r in copies) for s in ("one", "two", None)] == times and set(copies[0].asDict()) == {*d.columns, "copy"}
+    assert mixing.mixed_rows(d).columns == d.columns
+
+
 def test_url_rules_both_ways(spark):
     hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "notexample.com", "x.net", "net", "", "EXAMPLE.com:80"]
     urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/x?y#z", "/es/", "/fr", "?q=/en/", "#/en/")] + [None, "nothing", "://", "https://u@example.com/en/"]
@@ -322,11 +344,75 @@ def test_gradients_match_differences():
         assert grad[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4), name
 
 
-def test_pipeline_stages_keep_columns():
+def test_pipeline_end_to_end(spark, tmp_path):
+    import sentencepiece
+
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "SentencePiece encoding and decoding"]
-    assert json.dumps(corpus_pipeline.COLUMNS)
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in ("ta", "ri", "mo", "le", "su") for b in ("nd", "st", "rk", "ll", "ve", "pa")]
+    made = lambda n: " ".join(r.choice(words) for _ in range(n))
+    long = [made(200) for _ in range(6)]
+    rows = [(i, made(r.randrange(15, 60)) + (" vilutand vilurist" if i % 5 == 0 else "")) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(long)] + [(2000 + i, t.upper()) for i, t in enumerate(long)]  # exact copies: 2000.. stay
+    rows += [(900 + i, t + " extra") for i, t in enumerate(long)]  # near copies of those: 900.. stay
+    rows += [(None, long[0]), (None, "no id " + made(30)), (None, "no id twice"), (None, "no id twice"), (None, None), (7, None), (8, ""), (8, ""), (3000, "same row"), (3000, "same row"), (3000, "SAME ROW"), (11, made(40))]
+    rows += [(4000, " ".join(long * 30))]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, row string, hit string, k1 string"
+    d = spark.createDataFrame([(i, t, None, None if k % 9 == 0 else f"s{k % 2}", 1, "x", "y", "z") for k, (i, t) in enumerate(rows)], kind)
+    toxic = {i for i in range(0, 300, 5)}
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(300)] + [(None, 1), (9999, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    now, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        now = spark.read.parquet(f"{tmp_path}/stage{k}")
+        kept.append(now.collect())
+        assert k == 4 or now.columns[:5] == corpus_pipeline.COLUMNS
+    clean, unique, apart, mixed, coded = kept
+    gone = {x for x, _ in rows if x is not None} - {x.doc_id for x in clean}
+    assert gone <= toxic and len(gone) >= 0.9 * len(toxic)  # brute force from here on, on what each stage was given
+    groups = {}
+    for x in clean:
+        groups.setdefault((x.text or "").translate(FOLD), []).append(x.doc_id)
+    order = lambda i: (i is not None, i or 0)
+    assert sorted(((x.text or "").translate(FOLD), str(x.doc_id)) for x in unique) == sorted((t, str(max(g, key=order))) for t, g in groups.items())
+    sets = []
+    for x in unique:
+        w = re.findall("[^\x20\x09-\x0d]+", (x.text or "").translate(FOLD))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(unique)))
+    for a in range(len(unique)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                root = [root[b] if v == root[a] else v for v in root]
+    first = {}
+    for k, x in enumerate(unique):
+        best = first.get(root[k])
+        first[root[k]] = x if best is None or (x.doc_id is None, x.doc_id or 0) < (best.doc_id is None, best.doc_id or 0) else best
+    told = lambda found: sorted((str(x.doc_id), x.text or "") for x in found)
+    assert told(apart) == told(first.values()) and {900 + i for i in range(6)} <= {x.doc_id for x in apart}
+    sizes, taken = {}, {}
+    for x in apart:
+        sizes[x.source] = sizes.get(x.source, 0) + len(re.findall("[^\x20\x09-\x0d]+", x.text or ""))
+    for x in mixed:
+        taken[x.source] = taken.get(x.source, 0) + len(re.findall("[^\x20\x09-\x0d]+", x.text or ""))
+    assert sum(taken.values()) == pytest.approx(1.5 * sum(sizes.values()), rel=0.6) and all(taken[s] <= 2 * sizes[s] for s in taken)
+    assert len(coded) == len(mixed)
+    sp, by_id = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), {}
+    for x in mixed:
+        by_id.setdefault(x.doc_id, set()).add(x.text or "")
+    for x in coded:
+        assert x.lossless and len(x.ids) == x.n_pieces and (x.n_pieces == 0 or sp.decode(x.ids) in by_id[x.doc_id])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_pipeline_filters_keep_rows(spark):
