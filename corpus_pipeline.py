@@ -1,11 +1,18 @@
-"""A training corpus in five stages, each on all that the one before kept."""
+"""A training corpus in five stages, each on all that the one before kept.
+
+Decisions hold for rows, not for ids: a row is known by its doc_id and text, and of rows that agree in both exactly as
+many stay as the decision says. So rows without a doc_id, and rows that repeat one, are filtered like any other.
+
+Edge cases, alike in all stages: a null text counts as empty; very long texts are read whole; empty tables pass through
+as empty tables; of a document's columns only the usual five are handed on, so others may have any names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import saved, table, without
+from attesta.llm.common import fold_ascii, row_key, saved, table, thinned
 from attesta.llm.exact_dedup import exact_dedup
 from attesta.llm.merge_dropout import encode_pieces
 from attesta.llm.mixing import mixed_rows
@@ -16,34 +23,47 @@ from attesta.llm.toxicity import clean_rows, train
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of docs but those whose doc_id judged(doc_id, keep) only drops; rows without a doc_id stay."""
-    gone = judged.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("keep").alias("keep")).where("not keep")
-    return without(docs.select(*COLUMNS), gone)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; empty texts are scored, too. Without labels of both kinds nothing goes."""
     return clean_rows(docs.select(*COLUMNS), train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays. Rows without a doc_id can't be told apart and stay."""
-    return _kept(docs, exact_dedup(docs).select("doc_id", F.col("kept").alias("keep")))
+    """Of equal texts the row with the largest doc_id stays (a null one only where there is no other); of rows that
+    repeat it the least by their columns."""
+    docs = docs.select(*COLUMNS)
+    told = lambda text: row_key(F.col("doc_id"), text)
+    judged = exact_dedup(docs).where("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.max(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    k1, k2 = told(F.col("text_sha256"))
+    acts = judged.where("stay < n").select(k1.alias("k1"), k2.alias("k2"), "stay")
+    return thinned(docs, told(F.sha2(fold_ascii(F.col("text")), 256)), acts)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    return _kept(docs, ngram_join(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("keep")))
+    """Of each component of near copies the row with the smallest doc_id stays (a null one only where there is no other).
+    Rows are joined by a 64-bit hash of doc_id and text instead of their ids."""
+    docs = docs.select(*COLUMNS)
+    k1, k2 = row_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), "doc_id", "text")
+    found = saved(ngram_join(rows, id_col="k1"), "near-components")
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = saved(found.join(many, "component_id", "left_semi").select(F.col("doc_id").alias("k1"), "component_id").distinct(), "near-members")
+    named = saved(rows.select("k1", "k2", "doc_id").join(members, "k1"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2")
+    first = named.groupBy("component_id").agg(F.min(order).alias("first"))
+    keys = named.join(first, "component_id").groupBy("k1", "k2").agg(F.max((F.struct("k1", "k2") == F.struct("first.k1", "first.k2")).cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    return thinned(docs, (k1, k2), keys.where("stay < n").select("k1", "k2", "stay"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times (none, once, twice) as the mix takes it, its copies numbered."""
+    """Each document as many times (none, once, twice) as the mix takes it, its copies numbered. Sources without words,
+    the null source among them, have a target of 0."""
     return mixed_rows(docs.select(*COLUMNS), copy_col="copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row, cut with merge-dropout; the copies of a document are cut apart."""
+    """Token ids of each row, cut with merge-dropout; the copies of a document are cut apart, rows that repeat a doc_id
+    and copy alike. An empty text has no pieces."""
     return encode_pieces(docs, PIECE_MODEL, copy_col="copy" if "copy" in docs.columns else None)
 
 
