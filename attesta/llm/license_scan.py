@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import small_batches, tidy
 
 #: The usual short notices.
 TEMPLATES = {
@@ -137,5 +137,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "license", "coverage", "first_word", "last_word", "aligned", "stretches"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long, aligned long, "
+    return rows.mapInArrow(tidy(run), "doc_id long, license string, coverage double, first_word long, last_word long, aligned long, "
                            "stretches array<struct<coverage: double, first_word: long, last_word: long, aligned: long>>")

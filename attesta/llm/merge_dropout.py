@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import small_batches, tidy
 from attesta.llm.tokens import RunTable, gather
 
 BLANK = "▁"
@@ -46,7 +46,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class MergeDropout:
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 500_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 300_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -402,6 +402,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7,
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        c._clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(copy_col).cast("long").alias("copy")] if copy_col else []))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attesta.llm.common import LOWER, SPACES, UPPER, saved, small_batches
+from attesta.llm.common import LOWER, SPACES, UPPER, saved, small_batches, tidy
 
 WORDS, PERCENT, SKETCH_BITS, BLOCK_BITS, MOST_MATCHES = 5, 80, 21, 15, 4
 #: Cost of verifying a candidate, in scanned postings.
@@ -138,7 +138,7 @@ def sketch_counts(rows: DataFrame) -> np.ndarray:
             total += np.frombuffer(c, np.int64 if width == 8 else np.int32)
         return pd.DataFrame({"block": [int(group.block.iloc[0])], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
-    parts = rows.select("text").mapInArrow(count, "block int, width int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+    parts = rows.select("text").mapInArrow(tidy(count), "block int, width int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.int32)
     for r in parts.collect():  # the sketch: of fixed size
         out[r.block] = np.frombuffer(r.counts, np.int32)
@@ -177,7 +177,7 @@ def profiles(rows: DataFrame, sketch: np.ndarray) -> DataFrame:
             columns = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([x for x, _, _ in made], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))), pa.array([x for _, _, x in made], pa.float32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "l", "prefix", "common"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, key binary, l int, prefix array<long>, common float")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, key binary, l int, prefix array<long>, common float")
 
 
 def sets_of(rows: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def sets_of(rows: DataFrame) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["node", "s"])
 
-    return rows.mapInArrow(run, "node long, s array<long>")
+    return rows.mapInArrow(tidy(run), "node long, s array<long>")
 
 
 def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import small_batches, tidy
 
 BITS = 16
 LABELLERS = ("few_words", "indistinct", "one_word", "repeats", "upper", "symbols", "shouts", "long_words", "varied", "sentences", "plain")
@@ -144,7 +144,7 @@ def score_quality(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
                 seen[p] = seen.get(p, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    found = rows.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^11 rows
+    found = rows.select("text").mapInArrow(tidy(count), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^11 rows
     patterns = np.array([[int(x) for x in r.pattern.split(",")] for r in found], np.int64).reshape(-1, len(LABELLERS))
     prior, acc = em(patterns, np.array([r.n for r in found], np.float64))
     total = sum(r.n for r in found)
@@ -169,4 +169,4 @@ def score_quality(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
             post = posterior(np.array([votes(m) for m in seen]), prior, acc)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(post), pa.array(s), pa.array(s >= 0.5)], names=["doc_id", "posterior", "score", "keep"])
 
-    return rows.mapInArrow(score, "doc_id long, posterior double, score double, keep boolean")
+    return rows.mapInArrow(tidy(score), "doc_id long, posterior double, score double, keep boolean")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import saved, shared_dir, small_batches
+from attesta.llm.common import saved, shared_dir, small_batches, tidy
 from attesta.llm.tokens import RunTable
 
 MAGIC = b"RPS1"
@@ -320,7 +320,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shard_t
         return pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(shards, MANIFEST), "token-manifest")
+    return saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(shards), MANIFEST), "token-manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, to: str) -> DataFrame:
@@ -339,7 +339,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, to: str) -> DataFrame:
                 columns = [pa.array(s.doc_ids, pa.int64()), pa.array(base + ends - s.lens, pa.int64()), pa.array(s.lens.astype(np.int64)), pa.array(map(zlib.crc32, cuts), pa.int64()), pa.array(cuts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.join(named, "file").select("base", "content").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return files.join(named, "file").select("base", "content").mapInArrow(tidy(documents), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_digest(docs: DataFrame, tokenizer: str, **how) -> DataFrame:

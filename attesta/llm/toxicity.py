@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches
+from attesta.llm.common import small_batches, tidy
 from attesta.llm.tokens import split_words
 
 WINDOW, STRIDE, HIDDEN, DIM = 64, 48, 8, 4
@@ -357,7 +357,7 @@ def score_toxicity(docs: DataFrame, net: Net | None) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def clean_rows(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -371,4 +371,4 @@ def clean_rows(docs: DataFrame, net: Net | None) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(scorer.score(b.column(at)) < 0.5)) if scorer else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
