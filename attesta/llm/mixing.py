@@ -2,7 +2,7 @@
 
 Every document gets a keyed hash of 60 bits of its id, source and text. Words are summed by source and hash bucket; in
 the running sums each source's budget falls into one bucket, the boundary bucket. Documents below it are taken, those
-above are not, and only the boundary bucket is split again, four times by 15 bits. Where rows agree in the whole hash
+above are not, and only the boundary bucket is split again, five times by 12 bits. Where rows agree in the whole hash
 there (repeated rows), that bucket is split on by a hash of a number given to each of its rows. No document is sorted.
 
 Targets: sources weigh 3, 1, 2, repeating in code point order (null last), and share 150 % of all words; a target
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import saved, word_count
 
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 12
 #: Of the rows at a threshold that agree in the whole hash, told apart by their numbers.
-TIE_BITS = 45
+TIE_BITS = 48
 
 
 def mix_targets(totals: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
