@@ -107,20 +107,20 @@ def decide(score: Column, threshold) -> Column:
 
 
 def first_object(text: str | None) -> str | None:
-    """The first balanced {...} of a text, strings and escapes respected."""
-    if not text or (start := text.find("{")) < 0:
-        return None
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)):
-        c = text[i]
+    """The first balanced {...} of a text; strings and escapes are respected, before its first brace, too."""
+    depth, start, quoted, skip = 0, 0, False, False
+    for i, c in enumerate(text or ""):
         if skip:
             skip = False
         elif quoted:
             skip, quoted = c == "\\", c != '"'
         elif c == '"':
             quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
+        elif c == "{":
+            start = start if depth else i
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
             if not depth:
                 return text[start : i + 1]
     return None

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Inclusive ranges of numeric keys.
+#: Inclusive ranges of numeric keys, bounds, and the patterns of the accepted values.
 VALUE_RANGES = {
     "capacity": (1, 10000), "building:levels": (1, 200), "level": (-10, 200), "height": (0.5, 900), "rooms": (1, 5000), "beds": (1, 5000),
     "min_age": (0, 120), "max_age": (0, 120), "stars": (1, 7), "width": (0.1, 100), "seats": (1, 5000),
 }
 MIN_DIGITS, MAX_DIGITS, MAX_HOUR, SCHEMES = 5, 15, 48, ("http", "https")
 SELECTOR = r"^(Mo|Tu|We|Th|Fr|Sa|Su|PH|SH|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|week|[0-9]{4}|\[[-0-9,]+\]|[-,:0-9 ])+$"
+TIMES = r"^(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})$"
+PHONE = r"^[+0-9 ()\-./]+$"
+URL, HOST = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/\s?#]+)([^\s]*)$", r"^[A-Za-z0-9\-._~%]+(\.[A-Za-z0-9\-._~%]+)+(:[0-9]+)?$"
+STATES = ("off", "closed", "open", "unknown")
 VERDICT = "struct<check:string,field:string,outcome:string,detail:string>"
 
 
@@ -29,43 +33,45 @@ def _first(check: str, field, cases: list[tuple[Column, str, str]], fine: str) -
 
 
 def phone_syntax(value: Column, field="phone") -> Column:
-    v = F.trim(value)
+    v = strip(value)
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
     return _first("phone_syntax", field, [
-        (v == "", "flag", "empty"), (~v.rlike(r"^[+0-9 ()\-./]+$"), "flag", "other characters"),
+        (v == "", "flag", "empty"), (~v.rlike(PHONE), "flag", "other characters"),
         ((F.instr(F.substring(v, 2, 10_000), "+") > 0), "flag", "plus sign inside"),
         (digits < MIN_DIGITS, "flag", "too few digits"), (digits > MAX_DIGITS, "flag", "too many digits")], "digits")
 
 
+def strip(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\s+|\s+$", "")
+
+
 def _span_ok(span: Column) -> Column:
-    s = F.trim(span)
-    times = r"^(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})$"
-    part = lambda k: F.regexp_extract(s, times, k).try_cast("int")
-    clock = s.rlike(times) & (part(1) <= MAX_HOUR) & (part(3) <= MAX_HOUR) & (part(2) <= 59) & (part(4) <= 59)
-    return s.isin("off", "closed", "open", "unknown") | F.coalesce(clock, F.lit(False))
+    s = strip(span)
+    part = lambda k: F.regexp_extract(s, TIMES, k).try_cast("int")
+    clock = s.rlike(TIMES) & (part(1) <= MAX_HOUR) & (part(3) <= MAX_HOUR) & (part(2) <= 59) & (part(4) <= 59)
+    return F.lower(s).isin(*STATES) | F.coalesce(clock, F.lit(False))
 
 
 def opening_hours_syntax(value: Column, field="opening_hours") -> Column:
+    """Rules between semicolons: 24/7, or time spans between commas, behind a selector where a blank follows the first word."""
+
     def rule_ok(rule: Column) -> Column:
-        r = F.trim(F.regexp_replace(F.trim(rule), r"^\|+", ""))
+        r = strip(F.regexp_replace(strip(rule), r"^\|+", ""))
         at = F.instr(r, " ")
-        head, rest = F.substring_index(r, " ", 1), F.when(at > 0, F.substring(r, at + 1, F.length(r))).otherwise(r)
-        whole = F.forall(F.split(r, ","), _span_ok)
-        chosen = (at > 0) & head.rlike(SELECTOR) & F.forall(F.split(rest, ","), _span_ok)
-        return (r != "") & ((r == "24/7") | F.when(at > 0, chosen | (~head.rlike(SELECTOR) & whole)).otherwise(whole))
+        spans = F.when(at > 0, F.substring(r, at + 1, F.length(r))).otherwise(r)
+        return (r != "") & ((r == "24/7") | (((at == 0) | F.substring_index(r, " ", 1).rlike(SELECTOR)) & F.forall(F.split(spans, ",", -1), _span_ok)))
 
-    v = F.trim(value)
-    return _first("opening_hours_syntax", field, [(v == "", "flag", "empty"), (~F.forall(F.split(v, ";"), rule_ok), "flag", "not a rule list")], "rule list")
+    v = strip(value)
+    return _first("opening_hours_syntax", field, [(v == "", "flag", "empty"), ((v != "24/7 open") & ~F.forall(F.split(v, ";", -1), rule_ok), "flag", "not a rule list")], "rule list")
 
 
 def website_syntax(value: Column, field="website") -> Column:
-    v = F.trim(value)
-    shape = r"^([a-zA-Z][a-zA-Z0-9+.\-]*)://([^/\s?#]+)([^\s]*)$"
-    scheme, host, rest = (F.regexp_extract(v, shape, k) for k in (1, 2, 3))
+    v = strip(value)
+    scheme, host, rest = (F.regexp_extract(v, URL, k) for k in (1, 2, 3))
     return _first("website_syntax", field, [
-        (v == "", "flag", "empty"), (F.instr(v, " ") > 0, "flag", "blank inside"), (~v.rlike(shape), "flag", "not scheme and host"),
+        (v == "", "flag", "empty"), (F.instr(v, " ") > 0, "flag", "blank inside"), (~v.rlike(URL), "flag", "not scheme and host"),
         (~F.lower(scheme).isin(*SCHEMES), "flag", "other scheme"), (F.instr(rest, "://") > 0, "flag", "two schemes"),
-        (~host.rlike(r"^[A-Za-z0-9\-._~%]+(\.[A-Za-z0-9\-._~%]+)+(:[0-9]+)?$"), "flag", "host is not a dotted name")], "url")
+        (~host.rlike(HOST), "flag", "host is not a dotted name")], "url")
 
 
 def number(value: Column) -> Column:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Z95 = 1.959963984540054
 
 
@@ -65,23 +71,67 @@ def mcnemar_odds(b: str, c: str) -> str:
     return f"(CASE WHEN {c} = 0 THEN NULL ELSE CAST({b} AS DOUBLE) / {c} END)"
 
 
-def mcnemar_p(b: str, c: str) -> str:
-    """Two-sided exact binomial probability of b and c discordant pairs (Spark text: it folds over a sequence)."""
-    tail = f"aggregate(sequence(1, greatest(least({b}, {c}), 1)), named_struct('t', 1e0, 's', 1e0), (a, i) -> named_struct('t', a.t * ({b} + {c} - i + 1) / i, 's', a.s + IF(i <= least({b}, {c}), a.t * ({b} + {c} - i + 1) / i, 0e0)), a -> ln(a.s) - ({b} + {c}) * ln(2e0))"
-    return f"(CASE WHEN {b} + {c} = 0 THEN 1e0 WHEN {b} = {c} THEN 1e0 ELSE least(1e0, 2 * exp({tail})) END)"
+def odds_limits(b: str, c: str) -> tuple[str, str]:
+    """Limits of the discordant pairs' odds ratio: Wilson's of the share that the first system won, as odds; null where unbounded."""
+    odds = lambda share: f"(CASE WHEN {b} + {c} = 0 OR {share} >= 1 THEN NULL ELSE {share} / (1 - {share}) END)"
+    return odds(wilson_low(b, f"({b} + {c})")), odds(wilson_high(b, f"({b} + {c})"))
+
+
+def binomial_tail(k: int, n: int) -> float:
+    """Probability of at most k of n fair coins, by the continued fraction of the incomplete beta function: as fast for millions as for ten."""
+    if k >= n:
+        return 1.0
+    a, b, x = float(n - k), k + 1.0, 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a + b) * math.log(x))
+    if x >= (a + 1) / (a + b + 2):
+        return 1.0 - front * _beta_fraction(b, a, x) / b
+    return front * _beta_fraction(a, b, x) / a
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            c = 1 + top / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return out
+
+
+def mcnemar_p(first_only: Column, second_only: Column) -> Column:
+    """Two-sided exact binomial probability of the discordant pairs' split; one row per pair of systems comes here."""
+
+    @F.pandas_udf("double")
+    def p(b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if x == y else min(1.0, 2 * binomial_tail(min(x, y), x + y)) for x, y in zip(b.tolist(), c.tolist(), strict=True)])
+
+    return p(first_only, second_only)
 
 
 def min_discordant(alpha: float) -> int:
     """The fewest discordant pairs, all one way, that are significant."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be inside (0, 1)")
     k = 1
     while 2 * 0.5**k >= alpha:
         k += 1
     return k
 
 
-def phase2_size(rates: list[float], shares: list[float], existing: float, target: float) -> int:
-    import math
+def min_detectable(positives: int, alpha: float) -> float:
+    """The smallest difference in recall that two systems can be told apart by; above 1 none can."""
+    if positives <= 0:
+        raise ValueError("no positives")
+    return min_discordant(alpha) / positives
+
 
+def phase2_size(rates: list[float], shares: list[float], existing: float, target: float) -> int:
     yield_ = sum(r * s for r, s in zip(rates, shares, strict=True))
     return max(0, math.ceil((target - existing) / yield_ - 1e-9))
 

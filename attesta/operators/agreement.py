@@ -22,7 +22,8 @@ def cohen_kappa(pairs: DataFrame, first: str = "first", second: str = "second")
 def multi_reader(ratings: DataFrame, readers: int, categories: int, item: str = "item", label: str = "label") -> DataFrame:
     """Fleiss' kappa and Gwet's AC1 of items rated by the same number of readers."""
     counts = ratings.groupBy(item, label).agg(F.count(F.lit(1)).alias("n"))
-    items = counts.groupBy(item).agg(((F.sum(F.col("n") * F.col("n")) - readers) / (readers * (readers - 1))).alias("p"))
+    each = F.when(F.sum("n") == readers, F.sum(F.col("n") * F.col("n"))).otherwise(F.raise_error(F.concat(F.lit("not every reader rated item "), F.col(item).cast("string"))).cast("long"))
+    items = counts.groupBy(item).agg(((each - readers) / (readers * (readers - 1))).alias("p"))
     share = counts.groupBy(label).agg(F.sum("n").alias("n")).crossJoin(items.agg(F.count(F.lit(1)).alias("k"), F.avg("p").alias("o"))).withColumn("q", F.col("n") / (F.col("k") * readers))  # one row
     x = share.groupBy("o", "k").agg(F.sum(F.col("q") * F.col("q")).alias("ef"), (F.sum(F.col("q") * (1 - F.col("q"))) / (categories - 1)).alias("ea"))
     kappa = F.when(F.col("ef") >= 1, 1.0).otherwise((F.col("o") - F.col("ef")) / (1 - F.col("ef")))

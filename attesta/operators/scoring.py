@@ -31,7 +31,10 @@ def discordant(correct: DataFrame, item: str = "item", system: str = "system") -
 
 
 def with_mcnemar(pairs: DataFrame, digits: int = 6) -> DataFrame:
-    return pairs.select("*", F.round(F.expr(stats.mcnemar_p("first_only", "second_only")), digits).alias("p_value"), F.round(F.expr(stats.mcnemar_odds("first_only", "second_only")), digits).alias("odds_ratio"))
+    """Adds the exact p-value, the odds ratio of the discordant pairs and its limits."""
+    low, high = stats.odds_limits("first_only", "second_only")
+    p = stats.mcnemar_p(F.col("first_only"), F.col("second_only"))
+    return pairs.select("*", F.round(p, digits).alias("p_value"), *(F.round(F.expr(e), digits).alias(n) for n, e in (("odds_ratio", stats.mcnemar_odds("first_only", "second_only")), ("odds_low", low), ("odds_high", high))))
 
 
 def reweighted(judged: DataFrame, *by: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import records as R
 from attesta.functions import rules, stats
-from attesta.operators import agreement, eventlog, sampling, scoring, screen, spatial
+from attesta.operators import agreement, eventlog, retrieval, sampling, scoring, screen, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -129,24 +130,36 @@ def corruption_roundtrip(spark, d):
 _PHONE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
 
 
-@query(rf"""WITH p AS (SELECT doc_id % 3 AS k, regexp_extract(text, '{_PHONE}') AS v FROM documents WHERE regexp_matches(text, '{_PHONE}')),
+@query(rf"""WITH p AS (SELECT doc_id % 3 AS k, unnest(regexp_extract_all(text, '{_PHONE}')) AS v FROM documents),
 x AS (SELECT trim(CASE k WHEN 0 THEN v WHEN 1 THEN v || 'kk' ELSE '+' || v END) AS v FROM p),
 o AS (SELECT CASE WHEN v = '' THEN 'flag' WHEN NOT regexp_matches(v, '^[+0-9 ()\-./]+$') THEN 'flag' WHEN strpos(substr(v, 2), '+') > 0 THEN 'flag'
  WHEN length(regexp_replace(v, '[^0-9]', '', 'g')) NOT BETWEEN 5 AND 15 THEN 'flag' ELSE 'pass' END AS outcome FROM x) SELECT outcome, count(*)::BIGINT AS n FROM o GROUP BY outcome""")
 def phone_verdicts(spark, d):
-    docs = t(spark, d, "documents").where(F.col("text").rlike(_PHONE)).select((F.col("doc_id") % 3).alias("k"), F.regexp_extract("text", _PHONE, 0).alias("v"))
-    v = F.when(F.col("k") == 0, F.col("v")).when(F.col("k") == 1, sampling.corrupt_phone(F.col("v"), F.lit(1))).otherwise(sampling.corrupt_phone(F.col("v"), F.lit(0)))
+    docs = t(spark, d, "documents").select((F.col("doc_id") % 3).alias("k"), F.explode(F.regexp_extract_all("text", F.lit(_PHONE), F.lit(0))).alias("v"))
+    v = F.when(F.col("k") == 0, F.col("v")).when(F.col("k") == 1, F.concat("v", F.lit("kk"))).otherwise(F.concat(F.lit("+"), "v"))
     return tally(docs.select(rules.phone_syntax(v)["outcome"].alias("outcome")), "outcome")
 
 
-_HOURS = ["Mo-Fr 09:00-17:00", "24/7", "Mo-Sa 08:00-12:00,13:00-18:00; Su off", "Mo-Fr 09:00-52:30", "opens in the morning", "Mo, Tu 09:00-17:00", "Mo-Fr", "Mo-Fr 09:00-17:00;", "99:99-12:00, 13:00-17:00"]
-_HOURS_OUT = ["pass", "pass", "pass", "flag", "flag", "flag", "flag", "flag", "pass"]
+_HOURS = ["Mo-Fr 09:00-17:00", "24/7", "Mo-Sa 08:00-12:00,13:00-18:00; Su off", "Mo-Fr 09:00-52:30", "opens in the morning", "Mo, Tu 09:00-17:00", "Mo-Fr", "Mo-Fr 09:00-17:00;", "99:99-12:00, 13:00-17:00",
+    "24/7 open", "Su OFF", "Mo-Fr Closed", "closed , 09:00-17:00", "|| 08:00-09:60", "week 1-3 10:00 - 12:00", " || Off ;24/7", "10:00-12:00-14:00", "", "Mo  09:00-10:00,", "unknown,open"]
+_N_HOURS = len(_HOURS)
+# the grammar, evaluated on each value
+_HOURS_SQL = rf"""v AS (SELECT {_HOURS!r}[event_id % {_N_HOURS} + 1] AS value FROM events), d AS (SELECT DISTINCT value, trim(value) AS s FROM v),
+r AS (SELECT value, s, trim(ltrim(trim(unnest(string_split(s, ';'))), '|')) AS rule FROM d),
+p AS (SELECT value, s, rule, strpos(rule, ' ') AS blank, unnest(string_split(CASE WHEN strpos(rule, ' ') > 0 THEN substr(rule, strpos(rule, ' ') + 1) ELSE rule END, ',')) AS span FROM r),
+g AS (SELECT value, s = '24/7 open' OR rule = '24/7' OR (rule <> '' AND (blank = 0 OR regexp_matches(substr(rule, 1, blank - 1), '{rules.SELECTOR}'))
+  AND (lower(trim(span)) IN {rules.STATES} OR (regexp_matches(trim(span), '{rules.TIMES}') AND coalesce(try_cast(regexp_extract(trim(span), '{rules.TIMES}', 1) AS INT) <= 48 AND try_cast(regexp_extract(trim(span), '{rules.TIMES}', 3) AS INT) <= 48
+  AND try_cast(regexp_extract(trim(span), '{rules.TIMES}', 2) AS INT) <= 59 AND try_cast(regexp_extract(trim(span), '{rules.TIMES}', 4) AS INT) <= 59, false)))) AS ok FROM p),
+o AS (SELECT value, CASE WHEN trim(value) <> '' AND bool_and(ok) THEN 'pass' ELSE 'flag' END AS outcome FROM g GROUP BY value)"""
 
 
-@query(f"SELECT {_HOURS!r}[event_id % 9 + 1] AS value, {_HOURS_OUT!r}[event_id % 9 + 1] AS outcome, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def hours_values(spark, d) -> DataFrame:
+    return t(spark, d, "events").select(F.element_at(F.array(*map(F.lit, _HOURS)), (F.col("event_id") % _N_HOURS + 1).cast("int")).alias("value"))
+
+
+@query(f"WITH {_HOURS_SQL} SELECT value, outcome, count(*)::BIGINT AS n FROM v JOIN o USING (value) GROUP BY ALL")
 def opening_hours_verdicts(spark, d):
-    v = t(spark, d, "events").select(F.element_at(F.array(*map(F.lit, _HOURS)), (F.col("event_id") % 9 + 1).cast("int")).alias("value"))
-    return v.select("value", rules.opening_hours_syntax(F.col("value"))["outcome"].alias("outcome")).groupBy("value", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return hours_values(spark, d).select("value", rules.opening_hours_syntax(F.col("value"))["outcome"].alias("outcome")).groupBy("value", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH x AS (SELECT 'stars' AS field, (p_size % 12)::VARCHAR AS v, 1 AS lo, 7 AS hi FROM part UNION ALL SELECT 'height', CASE WHEN p_size % 7 = 0 THEN 'tall' ELSE (p_size / 40.0)::DECIMAL(18,3)::VARCHAR END, 0.5, 900 FROM part UNION ALL SELECT 'min_age', (p_size * 5 - 20)::VARCHAR, 0, 120 FROM part WHERE p_size % 2 = 0)
@@ -292,7 +305,7 @@ _LONG = f"l AS (SELECT doc_id AS item, source, truth, system, flagged, truth = f
 @query(f"""WITH {_LONG}, p AS (SELECT a.system AS first, b.system AS second, count(*) FILTER (a.correct AND NOT b.correct)::BIGINT AS first_only, count(*) FILTER (NOT a.correct AND b.correct)::BIGINT AS second_only, count(*)::BIGINT AS items FROM l a JOIN l b ON a.item = b.item AND a.system < b.system GROUP BY ALL),
 k AS (SELECT *, least(first_only, second_only) AS m, first_only + second_only AS n FROM p),
 lt AS (SELECT first, second, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM k, unnest(range(0, m + 1)) AS r(i) GROUP BY ALL)
-SELECT first, second, first_only, second_only, items, round(CASE WHEN first_only = second_only THEN 1 ELSE least(1, 2 * tail) END, 6) AS p_value, round({stats.mcnemar_odds('first_only', 'second_only')}, 6) AS odds_ratio FROM k JOIN lt USING (first, second)""")
+SELECT first, second, first_only, second_only, items, round(CASE WHEN first_only = second_only THEN 1 ELSE least(1, 2 * tail) END, 6) AS p_value, round({stats.mcnemar_odds('first_only', 'second_only')}, 6) AS odds_ratio, round({stats.odds_limits('first_only', 'second_only')[0]}, 6) AS odds_low, round({stats.odds_limits('first_only', 'second_only')[1]}, 6) AS odds_high FROM k JOIN lt USING (first, second)""")
 def pairwise_mcnemar(spark, d):
     return scoring.with_mcnemar(scoring.discordant(long_form(spark, d)))
 
@@ -398,14 +411,11 @@ def bootstrap_ac1(spark, d):
 
 
 # retrieval
-@query("""WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings), c AS (SELECT label, vec_id AS c_id, embedding AS c FROM embeddings WHERE vec_id % 10 = 0)
-SELECT vec_id, arg_min(c_id, (-round(s, 9), c_id)) AS best, round(max(s), 6) AS score FROM (SELECT vec_id, c_id, list_cosine_similarity(e::DOUBLE[], c::DOUBLE[]) AS s FROM q JOIN c USING (label) WHERE vec_id <> c_id) GROUP BY vec_id""")
+@query("""SELECT vec_id, arg_min(c_id, (-round(s, 9), c_id)) AS best, round(max(s), 6) AS score FROM (SELECT a.vec_id, b.vec_id AS c_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id) GROUP BY vec_id""")
 def cosine_best_match(spark, d):
     e = t(spark, d, "embeddings")
-    c = e.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("c_id"), F.col("embedding").alias("c"))  # the candidate entries of each group
-    s = e.join(c, "label").where("vec_id <> c_id").withColumn("s", R.cosine(F.col("embedding"), F.col("c")))
-    best = s.groupBy("vec_id").agg(F.max(F.struct(F.round("s", 9).alias("r"), (-F.col("c_id")).alias("m"))).alias("x"), F.max("s").alias("s"))
-    return best.select("vec_id", (-F.col("x.m")).alias("best"), F.round("s", 6).alias("score"))
+    return retrieval.top_matches(e, e, 1, "label", "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.col("other").alias("best"), F.round("score", 6).alias("score"))
 
 
 # logs
@@ -432,7 +442,7 @@ def stream_last_action(spark, d):
 
     schema = t(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    table = run_once(last_action_stream(stream.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id"), f"last_action_{abs(hash(d))}")
+    table = run_once(last_action_stream(stream.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id"), "last-action")
     return table.select("user_id", F.col("m.event_type").alias("event_type"))
 
 
@@ -464,10 +474,10 @@ def top_bottom(spark, d):
     return r.where("top <= 1 or low <= 1").select("n_regionkey", "n_name", F.when(F.col("top") <= 1, "top").otherwise("bottom").alias("kind"))
 
 
-@query("SELECT n_name, e.event_type FROM (SELECT DISTINCT event_type FROM events) e, nation LEFT JOIN (SELECT DISTINCT c_nationkey AS n_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END AS event_type, true AS done FROM customer WHERE c_custkey < 40) x ON x.n_nationkey = nation.n_nationkey AND x.event_type = e.event_type WHERE done IS NULL")
+@query("SELECT n_name, e.event_type FROM (SELECT DISTINCT event_type FROM events) e, nation LEFT JOIN (SELECT DISTINCT c_nationkey AS n_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 'click' ELSE 'view' END AS event_type, true AS done FROM customer ) x ON x.n_nationkey = nation.n_nationkey AND x.event_type = e.event_type WHERE done IS NULL")
 def completeness_check(spark, d):
     plan = t(spark, d, "nation").select("n_nationkey", "n_name").crossJoin(t(spark, d, "events").select("event_type").distinct())  # the plan: runs by systems
-    done = t(spark, d, "customer").where("c_custkey < 40").select(F.col("c_nationkey").alias("n_nationkey"), F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("view").alias("event_type"))
+    done = t(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.when(F.col("c_custkey") % 2 == 0, "click").otherwise("view").alias("event_type"))
     return plan.join(done, ["n_nationkey", "event_type"], "left_anti").select("n_name", "event_type")
 
 
@@ -498,19 +508,21 @@ def precision_bound(spark, d):
     return cells.agg(F.round(F.least(F.lit(1.0), F.sum(F.col("f") * F.expr(stats.wilson_high("k", "n"))) / F.sum("f")), 6).alias("bound"))
 
 
-def hypergeometric(pool: int, positives: int, reviewed: int) -> list[float]:
-    """Probabilities of 0, 1, .. positives among the reviewed."""
+def hypergeometric(pool: int, positives: int, reviewed: int) -> np.ndarray:
+    """Probabilities of the possible numbers of positives among the reviewed, from 0; those below 1e-30 are 0.
+
+    Only numbers within 12 standard deviations of the mean are computed, so the time grows with a root of the pool."""
     log = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    return [math.exp(log(positives, k) + log(pool - positives, reviewed - k) - log(pool, reviewed)) if 0 <= reviewed - k <= pool - positives else 0.0 for k in range(min(positives, reviewed) + 1)]
+    share = positives / pool if pool else 0.0
+    around = 12 * math.sqrt(max(1.0, reviewed * share * (1 - share))) + 12
+    first, last = max(0, reviewed - (pool - positives), math.floor(reviewed * share - around)), min(positives, reviewed, math.ceil(reviewed * share + around))
+    out = np.zeros(last + 1)
+    for k in range(first, last + 1):
+        out[k] = math.exp(log(positives, k) + log(pool - positives, reviewed - k) - log(pool, reviewed))
+    return out
 
 
 def random_triage(pool: int, positives: int, reviewed: int) -> tuple[float, int, int]:
     """Mean and central 95 % bounds of the positives that a random review finds."""
-    total, low, high = 0.0, None, 0
-    for k, p in enumerate(hypergeometric(pool, positives, reviewed)):
-        total += p
-        low = k if low is None and total >= 0.025 else low
-        if total >= 0.975 - 1e-12:
-            high = k
-            break
-    return reviewed * positives / pool, low or 0, high
+    total = np.cumsum(hypergeometric(pool, positives, reviewed))
+    return reviewed * positives / pool, int(np.searchsorted(total, 0.025)), int(np.searchsorted(total, 0.975 - 1e-12))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from attesta.functions import records as R
 from attesta.functions import rules, stats
-from attesta.operators import reports, scoring
-from attesta.plans.catalogue import _COUNTS, _HOURS, _JUDGED, _LONG, _READERS, ORACLE_SQL, corrupted_urls, judged, long_form, query, random_triage, readers, t, tally
+from attesta.operators import reports, retrieval, scoring
+from attesta.plans.catalogue import _COUNTS, _JUDGED, _LONG, _READERS, ORACLE_SQL, corrupted_urls, hours_values, judged, long_form, query, random_triage, readers, t, tally
 
 _MEASURES = ", ".join(f"{e} AS {n}" for n, e in stats.measures().items())
 _VARIANTS = {"strict": "quality = 0", "lenient": "quality = 0 OR toxic = 1", "definite": "CASE WHEN quality = 0 AND toxic = 1 THEN NULL ELSE quality = 0 END"}
@@ -86,7 +84,7 @@ def random_triage_bounds(spark, d):
 @query(f"""SELECT 'website_syntax' AS "check", outcome, n FROM ({ORACLE_SQL['website_verdicts']}) UNION ALL SELECT 'opening_hours_syntax', outcome, sum(n)::BIGINT FROM ({ORACLE_SQL['opening_hours_verdicts']}) GROUP BY outcome
 UNION ALL SELECT 'value_range', CASE detail WHEN 'inside the range' THEN 'pass' ELSE 'flag' END, sum(n)::BIGINT FROM ({ORACLE_SQL['value_range_verdicts']}) GROUP BY ALL""")
 def rule_baseline_by_check(spark, d):
-    hours = t(spark, d, "events").select(rules.opening_hours_syntax(F.element_at(F.array(*map(F.lit, _HOURS)), (F.col("event_id") % 9 + 1).cast("int"))).alias("v")).select("v.*")
+    hours = hours_values(spark, d).select(rules.opening_hours_syntax(F.col("value")).alias("v")).select("v.*")
     tags = F.create_map(F.lit("stars"), (F.col("p_size") % 12).cast("string"), F.lit("height"), F.when(F.col("p_size") % 7 == 0, "tall").otherwise((F.col("p_size") / 40.0).cast("decimal(18,3)").cast("string")),
         F.lit("min_age"), F.when(F.col("p_size") % 2 == 0, (F.col("p_size") * 5 - 20).cast("string")))
     ranges = t(spark, d, "part").select(F.inline(rules.value_range(tags)))
@@ -111,11 +109,8 @@ def cascade_dominated(spark, d):
     return reports.pareto(scoring.cascade(i, "lang").select("lang", "configuration", "recall", "read_per_1000"), ["lang"], "configuration", "recall", "read_per_1000")
 
 
-@query("""WITH c AS (SELECT label, vec_id AS c_id, embedding AS c FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT vec_id, c_id, list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[]) AS s FROM embeddings JOIN c USING (label) WHERE vec_id <> c_id)
+@query("""WITH s AS (SELECT a.vec_id, b.vec_id AS c_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id <> b.vec_id)
 SELECT vec_id, c_id, rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, c_id)::INT AS rank FROM s) WHERE rank <= 3""")
 def similar_topk(spark, d):
     e = t(spark, d, "embeddings")
-    c = e.where("vec_id % 10 = 0").select("label", F.col("vec_id").alias("c_id"), F.col("embedding").alias("c"))  # the candidate entries of each group
-    s = e.join(c, "label").where("vec_id <> c_id").select("vec_id", "c_id", R.cosine(F.col("embedding"), F.col("c")).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.round("s", 9).desc(), "c_id"))  # top three before the shuffle, too
-    return s.withColumn("rank", rank).where("rank <= 3").select("vec_id", "c_id", "rank", F.round("s", 6).alias("score"))
+    return retrieval.top_matches(e, e, 3, "label", "vec_id", "embedding").select(F.col("id").alias("vec_id"), F.col("other").alias("c_id"), "rank", F.round("score", 6).alias("score"))

@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: list[str] = []
 RECORD = "osm_type string, osm_id bigint, city string, country string, language string, maturity string, lat double, lon double, name string, tags map<string,string>, pos bigint"
 PLACE_CSV = "source string, place_id string, name string, alternate_names string, lat string, lon string, country string, feature_code string, population string"
 ANSWER = "run string, model string, item_id string, task string, prompt_version int, view string, parsed struct<verdict:string,field:string>, valid boolean, prompt_tokens bigint, output_tokens bigint, total_sec double"
 LABEL_EVENT = "kind string, run string, annotator string, item_id string, position int, label string, evidence_source string, evidence_url string, no_source boolean, note string, seconds_on_item double, labelled_at string"
 
 
+def workspace(spark: SparkSession, label: str) -> str:
+    """A fresh folder that all machines see, below spark.checkpoint.dir; only a local session without it takes a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="attesta-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        base = f"file://{_own[0]}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines of records; a table partitioned by city is pruned by filters on it."""
     return spark.read.schema(RECORD).json(path)

@@ -33,6 +33,18 @@ def test_mcnemar(spark):
     assert (stats.min_discordant(0.001), stats.min_discordant(0.05)) == (11, 6)
 
 
+def test_mcnemar_of_many_pairs(spark):
+    pairs = spark.createDataFrame([(600, 500), (30000, 29000), (5, 1030), (3_000_000, 3_001_000), (0, 4)], "first_only long, second_only long")
+    got = {(r.first_only, r.second_only): r for r in scoring.with_mcnemar(pairs, 9).collect()}
+
+    def exact(b, c):
+        return min(1.0, 2 * math.fsum(math.exp(math.lgamma(b + c + 1) - math.lgamma(k + 1) - math.lgamma(b + c - k + 1) - (b + c) * math.log(2)) for k in range(max(0, min(b, c) - 20_000), min(b, c) + 1)))
+
+    assert all(abs(r.p_value - exact(*k)) < 2e-7 for k, r in got.items()) and 0.0027 < got[600, 500].p_value < 0.003
+    assert got[0, 4].odds_low == 0 and got[600, 500].odds_low < 1.2 < got[600, 500].odds_high and stats.min_detectable(110, 0.001) == 0.1
+    assert math.isclose(stats.binomial_tail(3, 10), 176 / 1024) and math.isclose(stats.binomial_tail(8, 10), 1013 / 1024)
+
+
 def test_agreement(spark):
     cells = {"bb": 185, "bc": 11, "bw": 5, "cb": 2, "cc": 3, "cw": 1, "wb": 7, "wc": 15, "ww": 21}
     df = spark.createDataFrame([tuple(k) for k, n in cells.items() for _ in range(n)], "first string, second string")
@@ -48,6 +60,41 @@ def test_radius_join_wraps_and_reaches(spark):
     assert {(r.id, r.p) for r in spatial.radius_join(points, places, 20).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_radius_join_keeps_rows_of_any_type(spark):
+    points = spark.createDataFrame([(1, 10.0, 5.0, {"a": "b"})] * 2 + [(2, None, 5.0, {}), (3, 90.0, 10.0, {}), (4, -10.0, -180.0, {})], "id int, lat double, lon double, tags map<string,string>")
+    places = spark.createDataFrame([("p", 10.01, 5.0), ("p", 10.01, 5.0), ("q", 89.9, -170.0), ("r", -10.0, 179.9), ("s", None, 1.0)], "p string, p_lat double, p_lon double")
+    assert sorted((r.id, r.p) for r in spatial.radius_join(points, places, 25).collect()) == [(1, "p")] * 4 + [(3, "q"), (4, "r")]
+
+
+@pytest.mark.parametrize("km", [0.5, 7, 300, 4000, 25_000])
+def test_radius_join_finds_all(spark, km):
+    from pyspark.sql import functions as F
+
+    from attesta.functions.records import haversine_km
+
+    at = lambda a, b: (F.expr(f"cast((id * {a}) % 1801 / 10.0 - 90 as double)"), F.expr(f"cast((id * {b}) % 3601 / 10.0 - 180 as double)"))
+    points = spark.range(400).select("id", at(97, 53)[0].alias("lat"), at(97, 53)[1].alias("lon"))
+    places = spark.range(400).select(F.col("id").alias("p"), (at(97, 53)[0] * 0.999).alias("p_lat"), (at(97, 53)[1] * 0.999).alias("p_lon"))
+    want = points.crossJoin(places).where(haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")) <= km).count()
+    assert spatial.radius_join(points, places, km).count() == want
+
+
+def test_best_matches(spark):
+    from attesta.operators import retrieval
+
+    rows = [(i, i % 2, [float(i % 5 - 2), float(i % 7), 1.0]) for i in range(60)] + [(90, 0, None), (91, 1, [0.0, 0.0, 0.0]), (92, 7, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    got = {(r.id, r["rank"]): (r.other, r.score) for r in retrieval.top_matches(v, v, 3, "g", "id", "v").collect()}
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    for i, g, a in rows:
+        best = sorted((-round(cos(a, b), 9), j) for j, h, b in rows if a and b and g == h and i != j)[:3]
+        assert [got[i, k + 1][0] for k in range(len(best))] == [j for _, j in best] and (i, len(best) + 1) not in got
+
+
 def test_sampling(spark):
     assert sampling.redistribute({"a": 5, "b": 5}, {"a": 2, "b": 20}) == {"a": 2, "b": 8}
     with pytest.raises(ValueError, match="fewer"):
@@ -87,6 +134,17 @@ def test_eventlog(spark):
     assert [r[0] for r in names.select(eventlog.valid_annotator(F.col("n"))).collect()] == [True, False, False]
 
 
+def test_readers_must_all_rate(spark):
+    with pytest.raises(Exception, match="not every reader"):
+        agreement.multi_reader(spark.createDataFrame([(1, "y"), (1, "n"), (2, "y")], "item int, label string"), 2, 2).collect()
+
+
+def test_triage_of_large_pools():
+    mean, low, high = random_triage(4_000_000, 900_000, 200_000)
+    assert mean == 45_000 and 44_500 < low < mean < high < 45_500
+    assert random_triage(10, 10, 4) == (4, 4, 4)
+
+
 def test_triage():
     p = hypergeometric(50, 10, 20)
     assert math.isclose(sum(p), 1) and random_triage(50, 10, 20)[0] == 4

@@ -13,7 +13,8 @@ def outcomes(spark, values, rule):
     ("rule", "cases"),
     [
         (rules.phone_syntax, {"+90 232 445 12 34": "pass", "+90 232 44kk5 12 34": "flag", "+9 111": "flag", "++90 232 445 12 34": "flag", "": "flag"}),
-        (rules.opening_hours_syntax, {"Mo-Fr 09:00-17:00": "pass", "24/7": "pass", "Mo-Sa 08:00-12:00,13:00-18:00; Su off": "pass", "Mo-Fr 09:00-52:30": "flag", "opens in the morning": "flag", "Mo, Tu 09:00-17:00": "flag", "Mo-Fr": "flag", "Mo-Fr 09:00-17:00;": "flag", "99:99-12:00, 13:00-17:00": "pass"}),
+        (rules.opening_hours_syntax, {"Mo-Fr 09:00-17:00": "pass", "24/7": "pass", "Mo-Sa 08:00-12:00,13:00-18:00; Su off": "pass", "Mo-Fr 09:00-52:30": "flag", "opens in the morning": "flag", "Mo, Tu 09:00-17:00": "flag", "Mo-Fr": "flag", "Mo-Fr 09:00-17:00;": "flag", "99:99-12:00, 13:00-17:00": "pass",
+            "24/7 open": "pass", "Su OFF": "pass", "Mo-Fr Closed": "pass", "closed , 09:00-17:00": "flag", "\t24/7\n": "pass", "10:00-12:00-14:00": "flag", " ": "flag"}),
         (rules.website_syntax, {"https://www.example.ie/menu": "pass", "https://example": "flag", "https://http://example.com": "flag", "https://a.org/x?u=http://b.org": "flag"}),
     ],
 )
@@ -37,7 +38,8 @@ def test_fold_and_tokens(spark):
 
 def test_first_object_and_schema():
     assert records.first_object('x {"a": "}", "b": {"c": 1}} {') == '{"a": "}", "b": {"c": 1}}'
-    assert records.first_object("no") is None
+    assert records.first_object("no") is None and records.first_object(None) is None and records.first_object('"{" }') is None
+    assert records.first_object('He said "{" {"a":1}') == '{"a":1}' and records.first_object('} {"a": "\\"}"}') == '{"a": "\\"}"}'
     schema = {"properties": {"verdict": {"enum": ["a", "b"]}}, "required": ["verdict"], "additionalProperties": False}
     assert records.satisfies({"verdict": "a"}, schema)
     assert not records.satisfies({"verdict": "c"}, schema) and not records.satisfies({"verdict": "a", "x": 1}, schema) and not records.satisfies([], schema)
