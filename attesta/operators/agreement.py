@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.stats import Z95
+from attesta.operators import resampling
+
 
 def cohen_kappa(pairs: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
-    """items, observed, expected, kappa from two readers' labels: counts by cell, then by margin."""
+    """items, observed, expected, kappa, its standard error and limits from two readers' labels: counts by cell, then by
+    margin. Where chance alone explains all agreement, kappa and its limits are 0."""
     cells = pairs.where(F.col(first).isNotNull() & F.col(second).isNotNull()).groupBy(first, second).agg(F.count(F.lit(1)).alias("n"))
     total = cells.agg(F.sum("n").alias("items"), F.sum(F.when(F.col(first) == F.col(second), F.col("n")).otherwise(0)).alias("same"))
     a = cells.groupBy(F.col(first).alias("label")).agg(F.sum("n").alias("na"))
     b = cells.groupBy(F.col(second).alias("label")).agg(F.sum("n").alias("nb"))
     chance = a.join(b, "label").agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)).alias("cross"))
     x = total.crossJoin(chance).select("items", (F.col("same") / F.col("items")).alias("o"), (F.col("cross") / F.col("items") / F.col("items")).alias("e"))  # one row each
-    return x.select("items", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), F.round(F.when(F.col("e") >= 1, 0.0).otherwise((F.col("o") - F.col("e")) / (1 - F.col("e"))), 6).alias("kappa"))
+    kappa = F.try_divide(F.col("o") - F.col("e"), 1 - F.col("e"))
+    error = F.sqrt(F.try_divide(F.col("o") * (1 - F.col("o")), F.col("items") * F.pow(1 - F.col("e"), 2)))
+    return x.select("items", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), *(F.round(F.when(F.col("e") >= 1, 0.0).otherwise(c), 6).alias(n) for n, c in (("kappa", kappa), ("standard_error", error), ("low", F.greatest(F.lit(-1.0), kappa - Z95 * error)), ("high", F.least(F.lit(1.0), kappa + Z95 * error)))))
 
 
 def multi_reader(ratings: DataFrame, readers: int, categories: int, item: str = "item", label: str = "label") -> DataFrame:
@@ -30,44 +36,27 @@ def multi_reader(ratings: DataFrame, readers: int, categories: int, item: str =
     return x.select(F.col("k").alias("items"), F.round("o", 6).alias("observed"), F.round(kappa, 6).alias("fleiss_kappa"), F.round((F.col("o") - F.col("ea")) / (1 - F.col("ea")), 6).alias("gwet_ac1"))
 
 
-def clustered_difference(pairs: DataFrame, cluster: str, draws: int = 10_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Mean paired difference with a cluster bootstrap interval. Only each cluster's sums reach the one resampling task."""
+def clustered_difference(pairs: DataFrame, cluster: str, draws: int = 10_000, seed: int = 42, confidence: float = 0.95, digits: int = 6) -> DataFrame:
+    """Mean paired difference with a cluster bootstrap interval and a two-sided p-value, no less than 1 / draws."""
     sums = pairs.groupBy(cluster).agg(F.sum("difference").alias("d"), F.count(F.lit(1)).alias("n"))
+    m = resampling.resampled(sums, cluster, draws, seed).select((F.col("d") / F.col("n")).alias("m"))
+    share = lambda c: F.avg(c.cast("double"))
+    spread = m.agg(*resampling.limits("m", confidence), F.greatest(F.lit(1 / draws), F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0)))).alias("p_value"))
+    whole = sums.agg((F.sum("d") / F.sum("n")).alias("difference"), F.count(F.lit(1)).alias("clusters"))
+    both = whole.crossJoin(spread)  # one row each
+    return both.select(*(F.round(c, digits).alias(c) for c in ("difference", "low", "high", "p_value")), "clusters")
 
-    def resample(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(cluster)
-        d, n, rng = g.d.to_numpy(float), g.n.to_numpy(float), np.random.default_rng(seed)
-        means = []
-        for _ in range(0, draws, 1000):
-            at = rng.integers(0, len(d), (min(1000, draws), len(d)))
-            means.append(d[at].sum(1) / n[at].sum(1))
-        m = np.concatenate(means)
-        low, high = np.quantile(m, [(1 - confidence) / 2, (1 + confidence) / 2])
-        p = max(1 / draws, min(1.0, 2 * min((m <= 0).mean(), (m >= 0).mean())))
-        return pd.DataFrame([[d.sum() / n.sum(), low, high, p, len(d)]], columns=["difference", "low", "high", "p_value", "clusters"])
-
-    return sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(resample, "difference double, low double, high double, p_value double, clusters long")
 
-
-def rank_stability(judged: DataFrame, cluster: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Share of cluster resamples in which each system has the top Youden index, and its ranks' quantiles."""
+def rank_stability(judged: DataFrame, cluster: str, draws: int = 2000, seed: int = 42, digits: int = 6) -> DataFrame:
+    """Share of cluster resamples in which each system has the top Youden index, and its ranks' quantiles. Ranks are found
+    within a draw: a row per system."""
     c = judged.groupBy("system", cluster).agg(*(F.count_if(F.expr(e)).alias(n) for n, e in (("tp", "truth and flagged"), ("p", "truth"), ("tn", "not truth and not flagged"), ("n", "not truth"))))
-
-    def resample(g: pd.DataFrame) -> pd.DataFrame:
-        systems, groups = sorted(g.system.unique()), sorted(g[cluster].unique())
-        x = np.stack([g.pivot_table(index=cluster, columns="system", values=v, fill_value=0).reindex(index=groups, columns=systems, fill_value=0).to_numpy(float) for v in ("tp", "p", "tn", "n")])
-        tp, p, tn, n = _drawn(x, np.random.default_rng(seed), draws)
-        j = np.where((p > 0) & (n > 0), tp / np.maximum(p, 1) + tn / np.maximum(n, 1) - 1, 0.0)
-        ranks = pd.DataFrame(-j).rank(axis=1).to_numpy()
-        return pd.DataFrame({"system": systems, "top_share": (ranks == ranks.min(1, keepdims=True)).mean(0), "rank_low": np.quantile(ranks, 0.025, 0), "rank_high": np.quantile(ranks, 0.975, 0)})
-
-    return c.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(resample, "system string, top_share double, rank_low double, rank_high double")
-
-
-def _drawn(x: np.ndarray, rng: np.random.Generator, draws: int) -> list[np.ndarray]:
-    at = rng.integers(0, x.shape[1], (draws, x.shape[1]))
-    weight = np.stack([(at == k).sum(1) for k in range(x.shape[1])], 1).astype(float)
-    return [weight @ v for v in x]
+    j = F.when((F.col("p") > 0) & (F.col("n") > 0), F.round(F.col("tp") / F.col("p") + F.col("tn") / F.col("n") - 1, 12)).otherwise(0.0)
+    drawn = resampling.resampled(c, cluster, draws, seed, "system").select("draw", "system", j.alias("j"))
+    w = Window.partitionBy("draw")
+    ranked = drawn.withColumn("r", F.rank().over(w.orderBy(F.col("j").desc())) + (F.count(F.lit(1)).over(Window.partitionBy("draw", "j")) - 1) / 2.0).withColumn("best", F.max("j").over(w))
+    found = ranked.groupBy("system").agg(F.avg((F.col("j") == F.col("best")).cast("double")).alias("top_share"), *resampling.limits("r"))
+    return found.select("system", F.round("top_share", digits).alias("top_share"), F.round("low", digits).alias("rank_low"), F.round("high", digits).alias("rank_high"))
 
 
 def bootstrap_ac1(ratings: DataFrame, categories: int, readers: int, draws: int = 1000, seed: int = 42) -> DataFrame:

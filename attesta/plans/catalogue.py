@@ -383,7 +383,8 @@ def readers(spark, d) -> DataFrame:
 
 @query(f"""WITH r AS ({_READERS}), n AS (SELECT count(*)::DOUBLE AS n FROM r), o AS (SELECT count(*) FILTER (first = second) / n AS o FROM r, n GROUP BY n),
 e AS (SELECT sum(a.c * b.c) / n / n AS e FROM (SELECT first AS l, count(*)::DOUBLE AS c FROM r GROUP BY 1) a JOIN (SELECT second AS l, count(*)::DOUBLE AS c FROM r GROUP BY 1) b USING (l), n GROUP BY n)
-SELECT n::BIGINT AS items, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa FROM n, o, e""")
+SELECT n::BIGINT AS items, round(o, 6) AS observed, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa, round(sqrt(o * (1 - o) / (n * power(1 - e, 2))), 6) AS standard_error,
+round(greatest(-1, (o - e) / (1 - e) - {stats.Z95} * sqrt(o * (1 - o) / (n * power(1 - e, 2)))), 6) AS low, round(least(1, (o - e) / (1 - e) + {stats.Z95} * sqrt(o * (1 - o) / (n * power(1 - e, 2)))), 6) AS high FROM n, o, e""")
 def cohen_kappa(spark, d):
     return agreement.cohen_kappa(readers(spark, d))
 
@@ -395,12 +396,26 @@ def multi_reader_agreement(spark, d):
     return agreement.multi_reader(readers(spark, d).unpivot(["doc_id"], ["first", "second", "third"], "reader", "label").withColumnRenamed("doc_id", "item"), 3, 2)
 
 
-@query()
+def _drawn_sql(draws: int) -> str:
+    """Resamples of the table c(cluster, ..): (draw, cluster, times)."""
+    return f"""k AS (SELECT cluster, row_number() OVER (ORDER BY cluster NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM c)),
+p AS (SELECT draw, ('0x' || substr(md5('42:' || draw || ':' || slot), 1, 12))::BIGINT % n AS idx FROM range({draws}) AS a(draw), (SELECT idx AS slot, n FROM k) AS s),
+drawn AS (SELECT draw, cluster, count(*) AS times FROM p JOIN k USING (idx) GROUP BY ALL)"""
+
+
+@query(f"""WITH c AS (SELECT source AS cluster, sum((d1 = truth)::INT - (d2 = truth)::INT) AS d, count(*) AS n FROM ({_JUDGED}) GROUP BY source), {_drawn_sql(10_000)},
+m AS (SELECT sum(times * d)::DOUBLE / sum(times * c.n) AS m FROM drawn JOIN c ON drawn.cluster IS NOT DISTINCT FROM c.cluster GROUP BY draw)
+SELECT round((SELECT sum(d)::DOUBLE / sum(n) FROM c), 6) AS difference, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high,
+round(greatest(0.0001, least(1, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT)))), 6) AS p_value, (SELECT count(*) FROM c)::BIGINT AS clusters FROM m""")
 def clustered_paired_difference(spark, d):
     return agreement.clustered_difference(judged(spark, d).withColumn("difference", (F.col("d1") == F.col("truth")).cast("int") - (F.col("d2") == F.col("truth")).cast("int")), "source")
 
 
-@query()
+@query(f"""WITH {_LONG}, c AS (SELECT system, source AS cluster, count(*) FILTER (truth AND flagged) AS tp, count(*) FILTER (truth) AS p, count(*) FILTER (NOT truth AND NOT flagged) AS tn, count(*) FILTER (NOT truth) AS n FROM l GROUP BY ALL), {_drawn_sql(2000).replace('p AS', 'q AS').replace('FROM p JOIN', 'FROM q JOIN')},
+s AS (SELECT draw, system, sum(times * tp) AS tp, sum(times * p) AS p, sum(times * tn) AS tn, sum(times * c.n) AS n FROM drawn JOIN c ON drawn.cluster IS NOT DISTINCT FROM c.cluster GROUP BY ALL),
+j AS (SELECT draw, system, CASE WHEN p > 0 AND n > 0 THEN round(tp::DOUBLE / p + tn::DOUBLE / n - 1, 12) ELSE 0 END AS j FROM s),
+r AS (SELECT *, rank() OVER (PARTITION BY draw ORDER BY j DESC) + (count(*) OVER (PARTITION BY draw, j) - 1) / 2.0 AS r, max(j) OVER (PARTITION BY draw) AS best FROM j)
+SELECT system, round(avg((j = best)::INT), 6) AS top_share, round(quantile_cont(r::DOUBLE, 0.025), 6) AS rank_low, round(quantile_cont(r::DOUBLE, 0.975), 6) AS rank_high FROM r GROUP BY system""")
 def rank_stability(spark, d):
     return agreement.rank_stability(long_form(spark, d), "source")
 
