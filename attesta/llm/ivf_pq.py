@@ -9,12 +9,14 @@ double precision on the originals, and each query keeps its k best. So vectors t
 scored all or not at all. Of equal vectors in a block only those of the k + 1 smallest ids can be among the k best.
 
 Lists are stored as blocks of at most BLOCK vectors and queries as blocks of at most QUERIES, so one work unit is a
-bounded pair of blocks however large a list is. All `lists` = 128 lists are probed at every size; a caller may give a
-smaller share as `probe`, at the price of recall (README).
+bounded pair of blocks however large a list is. There are as many lists as the root of the number of vectors (as far as
+the sample allows), and as many are probed as hold `goal` of the true neighbours of TRIED drawn vectors among the sample,
+by brute force; and always so many that they hold more than k vectors.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part; fewer candidates than k are all returned where every list is probed;
-ties go to the smaller id; rows that repeat a query's id are one query of the first k of all their results; an empty table gives an empty result.
+part; fewer candidates than k are all returned; ties go to the smaller id; rows that repeat an id are one neighbour, by
+the best of their vectors, and one query, with the first k of all their results; columns of other names are not looked
+at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from attesta.llm.common import saved
 from attesta.llm.tokens import gather
 
 PARTS, WORDS, BLOCK, QUERIES = 16, 256, 4096, 512
+#: Vectors whose neighbours say how many lists are probed.
+TRIED = 400
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -78,15 +82,35 @@ class Codebooks:
         return np.einsum("qpw,pcw->pqc", self.pieces(q), self.words).astype(np.float32)
 
 
+def probed(books: Codebooks, sample: np.ndarray, k: int, goal: float, seed: int = 4) -> int:
+    """How many lists, those with the largest products first, hold `goal` of the k true neighbours of drawn vectors. Of equal
+    vectors one counts, as any list that has one has them all."""
+    sample = np.unique(sample, axis=0)
+    drawn = np.random.default_rng(seed).choice(len(sample), min(TRIED, len(sample)), replace=False)
+    at, k = nearest(sample, books.coarse), min(k, len(sample) - 1)
+    if k < 1:
+        return len(books.coarse)
+    need = []
+    for i in range(0, len(drawn), 100):
+        q = drawn[i : i + 100]
+        score = sample[q] @ sample.T
+        score[np.arange(len(q)), q] = -np.inf
+        true = np.argpartition(-score, k - 1, 1)[:, :k]
+        place = np.argsort(np.argsort(-(sample[q] @ books.coarse.T), 1, kind="stable"), 1)
+        need.append(np.take_along_axis(place, at[true], 1).ravel())
+    return int(np.quantile(np.concatenate(need), goal, method="higher")) + 1
+
+
 def folded(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows of which no query can miss another: of equal vectors those of the k + 1 smallest ids (one may be the query's own)."""
+    """Rows of which no query can miss another: of equal vectors one row of each of the k + 1 smallest ids (one may be the query's own)."""
     same = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)[1].ravel()
     order = np.lexsort((ids, same))
     s, i = same[order], ids[order]
     fresh = np.diff(s, prepend=-1) != 0
-    step = np.cumsum(fresh | (np.diff(i, prepend=i[:1]) != 0))  # grows with each new id of a vector
+    new = fresh | (np.diff(i, prepend=i[:1]) != 0)
+    step = np.cumsum(new)
     first = np.maximum.accumulate(np.where(fresh, step, 0))
-    return np.sort(order[step - first <= k])
+    return np.sort(order[new & (step - first <= k)])
 
 
 def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
@@ -111,6 +135,10 @@ def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x
         other = q_ids[row] != ids[at_x]  # a query is not its own neighbour
         row, at_x = row[other], at_x[other]
         exact = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", q[row[i : i + 8192]], x[at_x[i : i + 8192]]) for i in range(0, len(row), 8192))])
+        order = np.lexsort((-exact, ids[at_x], row))
+        row, at_x, exact = row[order], at_x[order], exact[order]
+        once = (np.diff(row, prepend=-1) != 0) | (np.diff(ids[at_x], prepend=ids[at_x][:1]) != 0)  # an id's best vector
+        row, at_x, exact = row[once], at_x[once], exact[once]
         order = np.lexsort((ids[at_x], -exact, row))
         row, at_x, exact = row[order], at_x[order], exact[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
@@ -119,7 +147,7 @@ def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x
     return found, score
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, probe: float = 1.0, rerank: int = 48, sample: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int | None = None, goal: float = 0.97, rerank: int = 48, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     usual = usable(vectors)
@@ -127,9 +155,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, p
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = int(pd.Series([len(v) for v in some]).mode()[0])
-    books = Codebooks(np.stack([np.asarray(v, np.float64) for v in some if len(v) == dim]), lists)
-    shared = spark.sparkContext.broadcast(books)  # of fixed size
     fits = usual.where(F.size("v") == dim)
+    drawn = np.stack([np.asarray(v, np.float64) for v in some if len(v) == dim])
+    books = Codebooks(drawn, lists or int(min(max(16, fits.count() ** 0.5), max(16, sample // 32))))
+    least = probed(books, drawn, k, goal)
+    shared = spark.sparkContext.broadcast(books)  # of a size that the sample bounds
 
     def encode(batches) -> Iterator[pd.DataFrame]:
         """List and code of every vector."""
@@ -143,16 +173,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, p
     def ask(batches) -> Iterator[pd.DataFrame]:
         """A row for each list that a query probes."""
         books = shared.value
-        n = max(1, int(np.ceil(probe * len(books.coarse))))
         for p in batches:
             if len(p):
                 x = np.stack(p.v.to_numpy())
-                near = np.argpartition(-(x @ books.coarse.T), n - 1, 1)[:, :n]
-                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "vec_id": np.repeat(p.vec_id.to_numpy(), n), "x": [r for v in x for r in [v.tobytes()] * n]})
+                order = np.argsort(-(x @ books.coarse.T), 1, kind="stable")
+                n = np.maximum(least, 1 + (np.cumsum(sizes[order], 1) <= k).sum(1))
+                take = np.arange(order.shape[1]) < n[:, None]
+                row, col = np.nonzero(take)
+                yield pd.DataFrame({"list": order[row, col].astype(np.int32), "vec_id": p.vec_id.to_numpy()[row], "x": [x[r].tobytes() for r in row]})
 
     def packed(rows: DataFrame, columns: list[str], most: int, label: str) -> DataFrame:
         """Rows of about `most` vectors of one list: as many blocks as each list's size asks for, dealt by hash."""
-        rows = saved(rows, f"{label}-rows")
         blocks = {r["list"]: -(-r["count"] // most) for r in rows.groupBy("list").count().collect()}  # a row per list
         of_list = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(-1), F.lit(1))
         keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.element_at(of_list, F.col("list")))).repartition("list", "block").sortWithinPartitions("list", "block")
@@ -189,12 +220,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 128, p
         """The k best of one query's units, at most one unit for each block of its lists."""
         found, score = np.frombuffer(b"".join(g.found), np.int64), np.frombuffer(b"".join(g.scores), np.float64)
         order = np.lexsort((found, -score))
-        order = order[score[order] > -np.inf][:k]
+        order = order[score[order] > -np.inf]
+        order = order[np.sort(np.unique(found[order], return_index=True)[1])][:k]
         return pd.DataFrame({"query_id": g.query_id.iloc[0], "rank": np.arange(1, len(order) + 1, dtype=np.int32), "vec_id": found[order], "score": score[order]})
 
-    index = packed(fits.mapInPandas(encode, "list int, vec_id long, code binary, x binary"), ["ids", "code", "x"], BLOCK, "ivf-index")
+    coded = saved(fits.mapInPandas(encode, "list int, vec_id long, code binary, x binary"), "ivf-coded")
+    sizes = np.zeros(len(books.coarse), np.int64)
+    for r in coded.groupBy("list").agg(F.count_distinct("vec_id").alias("n")).collect():  # a row per list
+        sizes[r["list"]] = r.n
+    index = packed(coded, ["ids", "code", "x"], BLOCK, "ivf-index")
     queries = fits.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(ask, "list int, vec_id long, x binary")
-    asked = packed(queries, ["ids", "x"], QUERIES, "ivf-queries").select("list", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    asked = packed(saved(queries, "ivf-asked"), ["ids", "x"], QUERIES, "ivf-queries").select("list", F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     small = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     units = index.join(asked, "list").repartition(2 * small)
     best = units.mapInPandas(work, "query_id long, found binary, scores binary")

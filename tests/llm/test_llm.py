@@ -303,6 +303,108 @@ def test_licenses_gives_all_stretches(spark):
     assert got[2].stretches[0].first_word == got[2].first_word == 0 and all(s.coverage == 1 for s in got[1].stretches)
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b):
+            left, row[j + 1] = row[j + 1], left + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark):
+    """Every template, plain, edited, repeated and cut apart, in the midst of other words; the best alignment by dynamic programming."""
+    r, texts = random.Random(9), license_scan.TEMPLATES
+    other = [f"q{i}" for i in range(300)]
+    noise = lambda n: [r.choice(other) for _ in range(n)]
+    rows, want = [], []
+    for name, t in texts.items():
+        words = license_scan.words_of(t)
+        edited = [w if r.random() > 0.06 else "edit" for w in words]
+        cut = len(words) // 2
+        rows += [noise(50) + words + noise(900), noise(3) + edited + noise(40), words + noise(len(words)) + words, noise(9) + words[:cut] + noise(6 * len(words) + 45) + words[cut:] + noise(70), words[: len(words) // 2] + noise(99)]
+        want += [(name, 1), (name, None), (name, 2), (name, 1), (name, 0)]
+    scanner = license_scan.Scanner(texts, 0.8)
+    for text, (name, n) in zip(rows, want, strict=True):
+        found = {x[0]: x for x in scanner.scan(" ".join(text))}
+        best = longest_common(scanner.templates[name], text) / len(scanner.templates[name])
+        if n is None:
+            n = int(best >= 0.8)
+        assert (len(found[name][5]) if name in found else 0) == n, (name, n, best)
+        if n:
+            assert found[name][1] == pytest.approx(best, abs=0.04) and found[name][1] <= best
+        for other_name in found:  # and nothing that isn't there
+            assert longest_common(scanner.templates[other_name], text) >= 0.8 * len(scanner.templates[other_name])
+    strewn = noise(4000)
+    for k, w in enumerate(scanner.templates["mit"]):
+        strewn[700 * k + 5] = w
+    assert not list(scanner.scan(" ".join(strewn)))
+    for gap in (" ", " some words between ", "\n" * 9 + "x " * 77):
+        body = next(x for x in scanner.scan(gap.join([texts["mit-text"]] * 4)) if x[0] == "mit-text")
+        assert [x[0] for x in body[5]] == [1.0] * 4 and body[1] == 1.0
+    assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+    twice = license_scan.scan_licenses(docs(spark, [texts["mit"]] * 2 + [None], [None, 3, 3])).collect()
+    assert sorted(str(x.doc_id) for x in twice) == ["3", "None"]
+
+
+def test_ivf_with_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 8))
+    rows = [(int(i), x[i].tolist()) for i in [*range(300), *[20] * 400, *[40] * 3, *[7] * 50]] + [(20, (2 * x[5]).tolist()), (None, x[0].tolist())]
+    got = ivf_pq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    assert set(got.query_id) == set(range(0, 300, 20)) and (got.groupby("query_id").vec_id.nunique() == 20).all() and (got.groupby("query_id")["rank"].max() == 20).all()
+    hit = []
+    for q in range(60, 300, 20):
+        part, score = got[got.query_id == q], x @ x[q]
+        score[20] = max(score[20], 2 * x[5] @ x[q])
+        score[q] = -np.inf
+        hit.append(len(set(np.argsort(-score)[:20]) & set(part.vec_id)) / 20)
+        assert np.allclose(score[part.vec_id], part.score)
+    assert np.mean(hit) >= 0.9
+
+
+def test_quality_against_brute_force(spark):
+    """Plain expectation-maximisation over all rows and dense logistic regression on a matrix of all words."""
+    texts = near_copies(80) + ["buy now " * 30, "A | B | C | " * 10, "LOUD!! WORDS!! " * 9, "", None, "one", LONG] * 4
+    rows = quality.score_quality(docs(spark, texts, [*range(len(texts) - 2), None, 3])).collect()
+    seen = [quality.measures(t) for t in texts]
+    votes = [quality.votes(m) for _, m in seen]
+    start = {0: {-1: 0.65, 0: 0.3, 1: 0.05}, 1: {-1: 0.3, 0: 0.02, 1: 0.68}}
+    prior, table = 0.8, [{y: dict(start[y]) for y in (0, 1)} for _ in quality.LABELLERS]
+
+    def good(v):
+        odds = prior / (1 - prior)
+        for p, x in zip(table, v, strict=True):
+            odds *= p[1][x] / p[0][x]
+        return odds / (1 + odds)
+
+    for _ in range(100):
+        g = [good(v) for v in votes]
+        prior = sum(g) / len(g)
+        for k, p in enumerate(table):
+            for y in (0, 1):
+                w = [x if y else 1 - x for x in g]
+                p[y] = {x: (sum(c for c, v in zip(w, votes, strict=True) if v[k] == x) + 3 * start[y][x]) / (sum(w) + 3) for x in (-1, 0, 1)}
+    goal = np.array([good(v) for v in votes])
+    x = np.zeros((len(texts), 1 << quality.BITS))
+    for i, (words, m) in enumerate(seen):
+        for w in words:
+            x[i, zlib.crc32(w.lower().encode()) >> 16] += 1 / len(words)
+        for k, y in enumerate(m):
+            x[i, zlib.crc32(f"{k}={int(np.log2(1 + 64 * y))}".encode()) >> 16] += 1
+    w, b, s, sb = np.zeros(x.shape[1]), 0.0, np.full(x.shape[1], 1e-8), 1e-8
+    weight = goal / goal.mean() + (1 - goal) / (1 - goal.mean())
+    for _ in range(60):
+        d = (1 / (1 + np.exp(-(x @ w + b))) - goal) * weight / len(texts)
+        g = x.T @ d + 1e-5 * w
+        s, sb = s + g * g, sb + d.sum() ** 2
+        w, b = w - 0.5 * g / np.sqrt(s), b - 0.5 * d.sum() / np.sqrt(sb)
+    score = 1 / (1 + np.exp(-(x @ w + b)))
+    order = lambda pairs: sorted((round(p, 4), round(q, 3)) for p, q in pairs)
+    assert np.allclose(order((r.posterior, r.score) for r in rows), order(zip(goal, score, strict=True)), atol=2e-3)
+    assert len(rows) == len(texts) and all(r.keep == (r.score >= 0.5) for r in rows)
+
+
 def test_quality(spark):
     r = random.Random(2)
     good = [" ".join(r.choice(["tree", "river", "stone", "walks", "under", "light,", "moves.", "quiet", "old", "and", "far", "road"]) + r.choice("abcdef") * r.randrange(2) for _ in range(r.randrange(30, 200))) for _ in range(200)]
@@ -325,6 +427,28 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(d, None).agg(F.max("score")).first()[0] == 0
 
 
+def average_precision(truth, score):
+    hits = np.array(truth)[np.argsort(-np.asarray(score), kind="stable")]
+    return float((np.cumsum(hits) / np.arange(1, len(hits) + 1) * hits).sum() / hits.sum())
+
+
+def test_training_does_the_work():
+    """Held-out average precision of the trained net against its seeded vectors alone, where order and context matter."""
+    r = random.Random(8)
+    words = [f"{a}{b}" for a in ("ta", "ri", "mo", "le", "su") for b in ("nd", "st", "rk", "ll", "ve", "pa")]
+    make = lambda bad: " ".join([*(r.choice(words) for _ in range(r.randrange(10, 120))), *(["vilu", "karo"] if bad else ["karo", "vilu"]), *(r.choice(words) for _ in range(r.randrange(10, 120)))])
+    labels = np.array([i % 3 == 0 for i in range(900)], np.int64)
+    texts = [make(y) for y in labels]
+    found = {}
+    for steps in (0, 1200):
+        scorer = toxicity.Scorer(toxicity.fit(texts[:600], labels[:600], steps=steps))
+        found[steps] = average_precision(labels[600:], scorer.score(pa.array(texts[600:])))
+    assert found[1200] > found[0] + 0.25, found
+    scorer, one = toxicity.Scorer(toxicity.fit(texts[:60], labels[:60], steps=5)), lambda t: toxicity.Scorer(scorer.net).score(pa.array([t], pa.string()))[0]
+    odd = pa.array([*ODD, texts[0], texts[0]])
+    assert np.allclose(scorer.score(odd), [one(t) for t in odd.to_pylist()], atol=1e-6)
+
+
 def test_gradients_match_differences():
     net, rng = toxicity.Net(1), np.random.default_rng(0)
     for k in net.p:
