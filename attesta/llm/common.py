@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder that the driver and all executors see: below spark.checkpoint.dir, or, only
-    where that is unset (tests in one process), below a temporary folder of this process."""
+    """A fresh folder that the driver and all executors see: below spark.checkpoint.dir, or, only where that is unset
+    and all runs in one process (tests), below a temporary folder of this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="attesta-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -41,7 +43,17 @@ def saved(df: DataFrame, label: str, partitions: int | None = None) -> DataFrame
     spark = df.sparkSession
     to = shared_dir(spark, label)
     (df.coalesce(partitions) if partitions else df).write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out.attesta_path = to
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote, once all that was made of them is written, too."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.attesta_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attesta.llm.common import LOWER, SPACES, UPPER, saved, small_batches, tidy
+from attesta.llm.common import LOWER, SPACES, UPPER, forget, saved, small_batches, tidy
 
 WORDS, PERCENT, SKETCH_BITS, BLOCK_BITS, MOST_MATCHES = 5, 80, 21, 15, 4
 #: Cost of verifying a candidate, in scanned postings.
@@ -221,7 +221,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        before, now = now, saved(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        forget(before, large)
 
 
 def similar_sizes(n: str, m: str):
@@ -279,7 +280,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # what they can share beyond the last common prefix token
     most = F.col("c") + F.least(F.col("n_a") - 1 - F.col("at_a"), F.col("n_b") - 1 - F.col("at_b"))
     cross = cross.where("c >= need").where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
-    more = saved(verified(saved(cross.select("a", "b"), "ngram-cross"), sets), "ngram-more")
+    pairs = saved(cross.select("a", "b"), "ngram-cross")
+    forget(posts)
+    more = saved(verified(pairs, sets), "ngram-more")
+    forget(pairs, lists, sets)
     # components of components
     at = roots.withColumnRenamed("node", "x")
     lifted = more.join(at.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a", "left").join(at.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b", "left")
