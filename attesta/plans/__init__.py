@@ -1,6 +1,6 @@
 """Registered queries with their SQL."""
 
-from attesta.plans import composite, studies  # noqa: F401  register their queries
+from attesta.plans import campaigns, composite, studies  # noqa: F401  register their queries
 from attesta.plans.catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

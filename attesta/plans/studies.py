@@ -52,10 +52,10 @@ _CODES = "1 + c_nationkey * 7"
 def calling_code_swaps(spark, d):
     known = F.array(*(F.lit(1 + 7 * k) for k in range(25)))
     own = F.expr(_CODES)
-    value = F.concat(F.lit(" +"), own.cast("string"), F.lit(" (555) 01-34"))
+    value = F.concat(F.lit(" +"), own.cast("string"), F.lit(" (000) 01-34"))
     made = t(spark, d, "customer").select(own.alias("own"), corruption.corrupt_calling_code(value, known, F.col("c_custkey")).alias("made"))
     read = corruption.calling_code(F.col("made"), known)
-    return made.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.count_if(read == F.col("own")).alias("same_code"), F.count_if(F.col("made").endswith(" (555) 01-34")).alias("same_rest"))
+    return made.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.count_if(read == F.col("own")).alias("same_code"), F.count_if(F.col("made").endswith(" (000) 01-34")).alias("same_rest"))
 
 
 # the composed baseline
