@@ -114,14 +114,10 @@ def folded(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, rerank: int):
-    """Of one block of a list and one block of queries: the k best (query row, id, score) of each query, short ones filled with -inf."""
-    rows = folded(ids, x, k)
-    ids, codes, x = ids[rows], codes[rows], x[rows]
-    cells, cell = np.unique(np.ascontiguousarray(codes).view(np.dtype((np.void, PARTS))).ravel(), return_inverse=True)
-    cells = cells.view(np.uint8).reshape(-1, PARTS)
-    members = np.argsort(cell.ravel(), kind="stable")
-    lens = np.bincount(cell.ravel(), minlength=len(cells))
-    starts = np.cumsum(lens) - lens
+    """Of one block of a list, folded and sorted by code, and one block of queries: the k best (query row, id, score) of each
+    query, short ones filled with -inf."""
+    starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(1)]))
+    cells, lens = codes[starts], np.diff(starts, append=len(codes))
     tables = books.tables(q)
     approx = np.broadcast_to((q @ books.coarse[at]).astype(np.float32)[:, None], (len(q), len(cells))).copy()
     for p in range(PARTS):
@@ -131,7 +127,7 @@ def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x
     for a in range(0, len(q), 64):
         part = approx[a : a + 64]
         row, c = np.nonzero(part >= np.partition(part, len(cells) - m, 1)[:, len(cells) - m, None])
-        row, at_x = np.repeat(row, lens[c]) + a, members[gather(starts[c], lens[c])]
+        row, at_x = np.repeat(row, lens[c]) + a, gather(starts[c], lens[c])
         other = q_ids[row] != ids[at_x]  # a query is not its own neighbour
         row, at_x = row[other], at_x[other]
         exact = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", q[row[i : i + 8192]], x[at_x[i : i + 8192]]) for i in range(0, len(row), 8192))])
@@ -192,7 +188,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int | None =
             held, at, n = [], None, 0
 
             def row() -> list:
-                return [at[0], *(b"".join(h[c] for h in held) for c in columns)]
+                parts = {c: b"".join(h[c] for h in held) for c in columns}
+                if "code" in columns:  # once for all the queries that come to a block
+                    ids, x = np.frombuffer(parts["ids"], np.int64), np.frombuffer(parts["x"], np.float64).reshape(-1, dim)
+                    codes = np.frombuffer(parts["code"], np.uint8).reshape(-1, PARTS)
+                    rows = folded(ids, x, k)
+                    rows = rows[np.argsort(np.ascontiguousarray(codes[rows]).view(np.dtype((np.void, PARTS))).ravel(), kind="stable")]
+                    parts = {"ids": ids[rows].tobytes(), "code": codes[rows].tobytes(), "x": x[rows].tobytes()}
+                return [at[0], *(parts[c] for c in columns)]
 
             for p in batches:
                 for (lst, block), g in p.groupby(["list", "block"]):
