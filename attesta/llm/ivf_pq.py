@@ -143,7 +143,7 @@ def search_unit(books: Codebooks, at: int, ids: np.ndarray, codes: np.ndarray, x
     return found, score
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int | None = None, goal: float = 0.97, rerank: int = 48, sample: int = 20_000) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, lists: int | None = None, goal: float = 0.97, rerank: int = 24, sample: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id is divisible by `every`."""
     spark = vectors.sparkSession
     usual = usable(vectors)
