@@ -11,33 +11,43 @@ def keyed(seed: int | str, *columns: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
 
 
+def ranked(records: DataFrame, by: list[str], seed: int, *key: str) -> DataFrame:
+    """Adds _r, the rank in keyed order within `by`, and _n, the group's size.
+
+    A group is cut into 256 buckets by the first digits of its keyed hashes: rows are sorted within a bucket, and a bucket's
+    offset is the number of rows in the group's earlier ones. So no group, however large, is sorted in one task."""
+    hashed = records.withColumn("_h", keyed(seed, *by, *key)).withColumn("_b", F.substring("_h", 1, 2))
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = hashed.groupBy(group.alias("_g"), F.col("_b").alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_g")  # at most 256 rows of a group
+    offsets = counts.withColumn("_o", F.sum("_c").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn("_n", F.sum("_c").over(w))
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *key))
+    inner = hashed.withColumn("_i", within)
+    both = inner.join(offsets, group.eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_k")))
+    return both.withColumn("_r", F.col("_i") + F.col("_o")).drop("_g", "_k", "_c", "_o", "_i", "_b", "_h")
+
+
 def draw(records: DataFrame, by: list[str], quota: Column | int, seed: int, *key: str) -> DataFrame:
     """At most `quota` records of each stratum, with their inclusion probability (8 digits)."""
     quota = F.lit(quota) if isinstance(quota, int) else quota
-    w = Window.partitionBy(*by)
-    ranked = records.withColumn("_r", F.row_number().over(w.orderBy(keyed(seed, *by, *key), *key))).withColumn("_n", F.count(F.lit(1)).over(w))
-    out = ranked.where(F.col("_r") <= quota).withColumn("inclusion_probability", F.round(F.least(quota / F.col("_n"), F.lit(1.0)), 8))
+    out = ranked(records, by, seed, *key).where(F.col("_r") <= quota).withColumn("inclusion_probability", F.round(F.least(quota / F.col("_n"), F.lit(1.0)), 8))
     return out.drop("_r", "_n")
 
 
 def split_share(records: DataFrame, by: list[str], share: float, seed: int, *key: str) -> DataFrame:
     """Adds `withheld`: of each group the first floor(share * n) in keyed order."""
-    w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(keyed(seed, *by, *key), *key))
-    return records.withColumn("withheld", rank <= F.floor(F.count(F.lit(1)).over(w) * share))
+    return ranked(records, by, seed, *key).withColumn("withheld", F.col("_r") <= F.floor(F.col("_n") * share)).drop("_r", "_n")
 
 
 def assign_splits(records: DataFrame, shares: dict[str, float], seed: int, *key: str) -> DataFrame:
     """Adds `split`: consecutive cuts of the keyed order, the last takes the remainder."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    rank, out, done = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(keyed(seed, *key), *key)), F.lit(list(shares)[-1]), F.lit(0)
-    cuts = []
+    out, done, cuts = F.lit(list(shares)[-1]), F.lit(0), []
     for name in list(shares)[:-1]:
-        done = done + F.round(n * shares[name]).cast("long")
+        done = done + F.round(F.col("_n") * shares[name]).cast("long")
         cuts.append((name, done))
     for name, end in reversed(cuts):
-        out = F.when(rank <= end, name).otherwise(out)
-    return records.withColumn("split", out)
+        out = F.when(F.col("_r") <= end, name).otherwise(out)
+    return ranked(records, [], seed, *key).withColumn("split", out).drop("_r", "_n")
 
 
 def equal_allocation(groups: DataFrame, total: int, seed: int, key: str) -> DataFrame:
@@ -69,8 +79,7 @@ def redistribute(quotas: dict[str, int], available: dict[str, int]) -> dict[str,
 
 def matched_pairs(records: DataFrame, by: list[str], seed: int, *key: str) -> DataFrame:
     """Adds pair_no (within `by`) and corrupted: neighbours in keyed order pair up, a keyed coin corrupts one; odd ones out go."""
-    w = Window.partitionBy(*by)
-    r = records.withColumn("_r", F.row_number().over(w.orderBy(keyed(seed, *by, *key), *key))).withColumn("_n", F.count(F.lit(1)).over(w))
+    r = ranked(records, by, seed, *key)
     r = r.where(F.col("_r") <= F.col("_n") - F.col("_n") % 2).withColumn("pair_no", F.floor((F.col("_r") - 1) / 2))
     coin = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *by, "pair_no")), 1, 1), 16, 10).cast("int") % 2
     return r.withColumn("corrupted", (F.col("_r") % 2) == coin).drop("_r", "_n")
@@ -83,36 +92,3 @@ def corrupt_website(url: Column, kind: Column) -> Column:
         F.when(kind == 0, bare).when(kind == 1, F.concat(F.lit("https://http://"), bare)).when(kind == 2, F.concat(F.lit("https://"), F.lit("nodots/"), bare))
         .when(kind == 3, F.concat(F.lit("https:// "), bare)).otherwise(F.concat(F.lit("gopher://"), bare))
     )
-
-
-def corrupt_phone(phone: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == 0, F.concat(F.lit("+"), phone)).when(kind == 1, F.concat(phone, F.lit("kk"))).when(kind == 2, F.concat(F.lit("+9 "), F.lit("11")))
-        .when(kind == 3, F.concat(phone, F.lit(" 1234567890123456"))).otherwise(F.lit(""))
-    )
-
-
-def corrupt_hours(hours: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == 0, F.concat(hours, F.lit(";"))).when(kind == 1, F.replace(hours, F.lit(":"), F.lit("."))).when(kind == 2, F.lit("Mo-Fr 09:00-52:30"))
-        .when(kind == 3, F.lit("opens in the morning")).otherwise(F.replace(hours, F.lit("-"), F.lit("~")))
-    )
-
-
-def corrupt_range(low: Column, high: Column, kind: Column) -> Column:
-    return F.when(kind == 0, (high * 10 + 1).cast("string")).when(kind == 1, (low - 1000).cast("string")).otherwise(F.lit("many"))
-
-
-def corrupt_calling_code(phone: Column, own: Column, other: Column) -> Column:
-    return F.concat(F.lit("+"), other.cast("string"), F.substring(phone, F.length(own.cast("string")) + 2, 100))
-
-
-def name_donors(records: DataFrame, pool: DataFrame, key: str, seed: int, km: float = 2.0) -> DataFrame:
-    """(key, donor): for each record the keyed-first donor of its group with another category and name, at least km away.
-    Joined on the column `grp`; donors of a group are a drawn pool of bounded size."""
-    from attesta.functions.records import haversine_km
-
-    d = pool.select("grp", F.col(key).alias("donor"), F.col("name").alias("d_name"), F.col("category").alias("d_category"), F.col("lat").alias("d_lat"), F.col("lon").alias("d_lon"))
-    both = records.join(d, "grp").where(F.col(key) != F.col("donor")).where("name <> d_name and category <> d_category")
-    both = both.where(haversine_km(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon")) >= km)
-    return both.groupBy(key).agg(F.min_by("donor", keyed(seed, key, "donor")).alias("donor"))

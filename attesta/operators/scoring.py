@@ -46,14 +46,23 @@ def reweighted(judged: DataFrame, *by: str) -> DataFrame:
     return s.select(*by, F.round(F.try_divide("pos", "w"), 6).alias("prevalence"), F.round(F.try_divide("hit", "pos"), 6).alias("recall"), F.round(F.try_divide("fl", "w"), 6).alias("weighted_flag_rate"))
 
 
-def threshold(scored: DataFrame, last: bool = True) -> DataFrame:
+def threshold(scored: DataFrame, last: bool = True, buckets: int = 64) -> DataFrame:
     """(cut, j): the cut with the best Youden index when scores below it are flagged, from sorted running counts; of
-    equally good cuts the highest (last) or lowest one. One row per distinct score is sorted, not one per item."""
+    equally good cuts the highest (last) or lowest one.
+
+    One row per distinct score is sorted, in buckets between approximate quantiles; a bucket begins with the counts of
+    those before it, so no task sorts all scores."""
     by = scored.where("score is not null and not isnan(score)").groupBy("score").agg(F.count_if("truth").alias("p"), F.count_if(~F.col("truth")).alias("n"))
-    all_ = Window.partitionBy(F.lit(1))
-    run = all_.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    j = by.withColumns({"tp": F.coalesce(F.sum("p").over(run), F.lit(0)), "fp": F.coalesce(F.sum("n").over(run), F.lit(0)), "P": F.sum("p").over(all_), "N": F.sum("n").over(all_)})
-    j = j.withColumn("j", F.round(F.expr(stats.youden("tp", "(P - tp)", "(N - fp)", "fp")), 12))
+    cuts = by.agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10_000).alias("_cuts"))  # one row
+    dealt = by.crossJoin(cuts).withColumn("_b", F.greatest(F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("score"))), F.lit(0)), F.lit(0))).drop("_cuts")
+    sums = dealt.groupBy(F.col("_b").alias("_k")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_q"))
+    all_ = Window.partitionBy(F.lit(1))  # a row per bucket
+    before = all_.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_p", "_q")), F.sum("_p").over(all_).alias("_pos"), F.sum("_q").over(all_).alias("_neg"))
+    run = Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    j = dealt.withColumns({"tp": F.coalesce(F.sum("p").over(run), F.lit(0)), "fp": F.coalesce(F.sum("n").over(run), F.lit(0))}).join(F.broadcast(sums), F.col("_b") == F.col("_k"))  # as many rows as buckets
+    j = j.withColumns({"tp": F.col("tp") + F.col("_p0"), "fp": F.col("fp") + F.col("_q0")})
+    j = j.withColumn("j", F.round(F.expr(stats.youden("tp", "(_pos - tp)", "(_neg - fp)", "fp")), 12))
     tie = F.col("score") if last else -F.col("score")
     return j.agg(F.max(F.struct("j", tie.alias("t"), "score")).alias("m")).select(F.col("m.score").alias("cut"), F.col("m.j").alias("j"))
 

@@ -109,6 +109,26 @@ def test_sampling(spark):
     assert stats.phase2_size([0.25, 0.05], [0.5, 0.5], 30, 120) == 600 and stats.phase2_size([0.25], [1], 130, 120) == 0
 
 
+def test_ranks_of_any_group(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"))
+    got = sampling.ranked(rows, ["g"], 5, "id").collect()
+    want = {}
+    for r in rows.withColumn("h", sampling.keyed(5, "g", "id")).collect():
+        want.setdefault(r.g, []).append((r.h, r.id))
+    assert {r.id: (r._r, r._n) for r in got} == {i: (k + 1, len(x)) for x in want.values() for k, (_, i) in enumerate(sorted(x))}
+    splits = sampling.assign_splits(rows, {"a": 0.2, "b": 0.3, "c": 0.5}, 5, "id").groupBy("split").count()
+    assert {r.split: r["count"] for r in splits.collect()} == {"a": 600, "b": 900, "c": 1500}
+
+
+def test_threshold_in_buckets(spark):
+    s = spark.range(5000).select((F.col("id") * 7919 % 1777 / 10.0).alias("score"), (F.col("id") * 31 % 100 < 40 - F.col("id") * 7919 % 1777 / 60.0).alias("truth"))
+    rows = s.collect()
+    cuts = sorted({r.score for r in rows})
+    pos = sum(r.truth for r in rows)
+    best = max((round(sum(r.truth for r in rows if r.score < c) / pos - sum(not r.truth for r in rows if r.score < c) / (len(rows) - pos), 12), c) for c in cuts)
+    assert all(tuple(scoring.threshold(s, buckets=b).first()) == (best[1], best[0]) for b in (1, 7, 64))
+
+
 def test_threshold_and_weights(spark):
     s = spark.createDataFrame([(0.1, True), (0.2, True), (0.8, False), (0.9, False), (float("nan"), True)], "score double, truth boolean")
     r = scoring.threshold(s).first()
