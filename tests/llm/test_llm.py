@@ -468,6 +468,55 @@ def test_gradients_match_differences():
         assert grad[name][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4), name
 
 
+OPERATORS = {
+    "licenses": lambda d: license_scan.scan_licenses(d),
+    "quality": lambda d: quality.score_quality(d),
+    "exact": lambda d: exact_dedup.exact_dedup(d),
+    "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.Net()),
+    "toxicity_filter": lambda d: toxicity.clean_rows(d, toxicity.Net()),
+    "near": lambda d: ngram_join.ngram_join(d),
+    "mix": lambda d: mixing.mix(d),
+    "mixed_rows": lambda d: mixing.mixed_rows(d),
+    "tokens": lambda d: token_file.token_digest(d, WORD_TOKENIZER),
+    "pieces": lambda d: merge_dropout.encode_pieces(d, PIECE_MODEL),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_any_rows(spark, name):
+    """Nulls in every column, repeated rows and ids, very long texts, columns of names that operators use themselves."""
+    clash = "row long, h long, fp long, norm string, node long, s string, size long, times long, number long, token string, k1 long, k2 long, slot long, hit string, stay string, plan string, key binary, `list` long, copy long"
+    rows = [(None, None, None, None, None), (None, "a b c d e f", "en", "x", 1), (None, "a b c d e f", "en", "x", 1), (1, LONG, "en", None, 1), (1, LONG, "en", None, 1), (2, "", None, "x", None), (2, "other words", None, "x", None), (3, "one", "en", "x", 1), (3, "two", "en", "x", 1)]
+    d = spark.createDataFrame([(*r, *([None] * 19)) for r in rows], f"doc_id long, text string, lang string, source string, n_chars int, {clash}").repartition(3)
+    found = OPERATORS[name](d).collect()
+    if name not in ("licenses", "mixed_rows", "toxicity_filter"):
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(r[0]) for r in rows)
+    if name in ("mixed_rows", "toxicity_filter"):
+        assert set(OPERATORS[name](d).columns) == set(d.columns)
+    if name == "near":
+        assert all((r.component_id is None) == (r.doc_id is None) for r in found)
+    if name in ("near", "exact", "quality", "toxicity", "pieces"):  # rows that repeat get the same answer, but for the one that stays
+        told = {}
+        for r in found:
+            told.setdefault(str(r.doc_id), set()).add(str({k: v for k, v in r.asDict().items() if k != "kept"}))
+        assert len(told["1"]) == 1
+    empty = OPERATORS[name](d.limit(0))
+    assert empty.count() == 0 and empty.columns == OPERATORS[name](d).columns
+
+
+def test_empty_pages(spark):
+    assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string, rule string, verdict string, pid long").select("page_id", "url"), RULES).count() == 0
+
+
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = ngram_join.saved
+    monkeypatch.setattr(ngram_join, "saved", lambda df, label, *a: (rounds.append(label), kept(df, label, *a))[1])
+    chain = spark.range(400).select(((F.col("id") * 7 + 3) % 401).alias("a"), (((F.col("id") + 1) * 7 + 3) % 401).alias("b"))
+    found = {r.node: r.root for r in ngram_join.components(chain).collect()}
+    assert len(found) == 400 and set(found.values()) == {0} and rounds.count("cc-small") <= 12
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     import sentencepiece
 
