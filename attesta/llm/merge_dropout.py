@@ -34,7 +34,9 @@ from attesta.llm.tokens import RunTable, gather
 
 BLANK = "▁"
 MASK = (1 << 64) - 1
-WIDE = 24
+WIDE, BLOCK = 24, 5_000
+#: Rows that are encoded at a time: more would only hold more units in memory.
+ROWS = 150
 #: The unit of a literal U+2581; no other unit holds two line breaks.
 MARK = "\n\n"
 
@@ -46,7 +48,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class MergeDropout:
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 300_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 7, most: int = 150_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -208,8 +210,8 @@ class MergeDropout:
             found.append((alone, np.array([x for r in runs for x in r], np.int64), np.array([len(r) for r in runs], np.int64),
                           np.array([x for x, _ in rest], np.int64), np.array([x for _, x in rest], bool), np.array([len(t) for t in traces], np.int64)))
         rows = rows[np.argsort(lens[rows], kind="stable")]
-        for k in range(0, len(rows), 20_000):
-            part = rows[k : k + 20_000]
+        for k in range(0, len(rows), BLOCK):
+            part = rows[k : k + BLOCK]
             found.append((part, *self._side_by_side(keys[part], syms, starts[part], lens[part])))
         if not found:
             return (np.zeros(0, np.int64),) * 5
@@ -390,7 +392,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7,
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         c = coder(model, rate, seed)
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids, lens = c.encode(doc_ids, texts, b.column(2).to_pylist() if copy_col else None)
             same = [x == (t or "") for x, t in zip(c.decode(ids, lens), texts, strict=True)]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from attesta.llm.common import LOWER, SPACES, UPPER, forget, saved, small_batches, tidy
+from attesta.llm.common import LOWER, SPACES, UPPER, forget, give_back, saved, small_batches, tidy
 
 WORDS, PERCENT, SKETCH_BITS, BLOCK_BITS, MOST_MATCHES = 5, 80, 21, 15, 4
 #: Cost of verifying a candidate, in scanned postings.
@@ -235,6 +235,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
     table = saved(profiles(rows, sketch_counts(known)), "ngram-profiles")
+    give_back()
     full = table.where("doc_id is not null and n > 0")
     # equal sets are one node, the smallest of their ids
     groups = full.groupBy("key").agg(F.min("doc_id").alias("node"))

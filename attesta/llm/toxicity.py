@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import small_batches, tidy
+from attesta.llm.common import give_back, small_batches, tidy
 from attesta.llm.tokens import split_words
 
 WINDOW, STRIDE, HIDDEN, DIM = 64, 48, 8, 4
@@ -340,7 +340,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1200) -> Net | None:
     one_text = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = sorted(one_text.collect(), key=lambda r: r.doc_id)  # as many as the sample has
     y = np.array([r.y for r in rows], np.int64)
-    return fit([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
+    net = fit([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
+    del rows, ids, y
+    give_back()
+    return net
 
 
 def score_toxicity(docs: DataFrame, net: Net | None) -> DataFrame:
