@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import saved, shared_dir, small_batches, tidy
-from attesta.llm.tokens import RunTable
+from attesta.llm.tokens import RunTable, gather
 
 MAGIC = b"RPS1"
 SLOT_BITS = 18
@@ -159,7 +159,11 @@ class Shard:
         return expand(seq[a:b], self.rules, self.vocab)[skip : skip + max(0, stop - start)]
 
     def all_tokens(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.vocab)
+        """Every rule is expanded once; then the sequence is read off in one pass."""
+        flat = np.concatenate([np.arange(self.vocab), expand(self.rules.ravel(), self.rules, self.vocab)])
+        lens = np.concatenate([np.ones(self.vocab, np.int64), self.sizes.astype(np.int64)])
+        starts = np.cumsum(lens) - lens
+        return flat[gather(starts[self.seq], lens[self.seq])]
 
 
 class WordEncoder:
@@ -284,7 +288,7 @@ MANIFEST = "part int, shard int, file string, n_docs long, n_tokens long, n_byte
 def write_tokens(docs: DataFrame, tokenizer: str, to: str, end: int = 2, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards of `docs` below the folder `to`; returns the saved manifest, a row per shard."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1500)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(to)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
 
