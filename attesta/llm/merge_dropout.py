@@ -375,15 +375,6 @@ def hash_key(doc_id) -> int:
     return 0x5851F42D4C957F2D if doc_id is None else doc_id & MASK
 
 
-_coders: dict[tuple, MergeDropout] = {}
-
-
-def coder(*how) -> MergeDropout:
-    if how not in _coders:
-        _coders[how] = MergeDropout(*how)
-    return _coders[how]
-
-
 def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7, with_ids: bool = True,
                   id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), lossless
@@ -391,7 +382,7 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7,
     small_batches(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        c = coder(model, rate, seed)
+        c = MergeDropout(model, rate, seed)  # a task's own: a worker that goes on to other stages doesn't keep it
         for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, len(whole), ROWS)):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids, lens = c.encode(doc_ids, texts, b.column(2).to_pylist() if copy_col else None)
@@ -404,7 +395,6 @@ def encode_pieces(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 7,
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        c._clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(copy_col).cast("long").alias("copy")] if copy_col else []))
     return rows.mapInArrow(tidy(run), "doc_id long, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * with_ids)

@@ -157,7 +157,7 @@ class Net:
 class Reader:
     """Turns texts into windows of word numbers, with a bounded memo of words."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 60_000):
         self.most = most
         self.clear()
 
@@ -288,7 +288,7 @@ def score_windows(net: Net, win: np.ndarray, vectors: np.ndarray, block: int = 1
     return _score(net, win, pre, block)
 
 
-def _score(net: Net, win: np.ndarray, pre: dict, block: int = 1024) -> np.ndarray:
+def _score(net: Net, win: np.ndarray, pre: dict, block: int = 512) -> np.ndarray:
     out, lens = np.empty(len(win), np.float32), (win >= 0).sum(1)
     order = np.argsort(lens, kind="stable")
     for k in range(0, len(win), block):
@@ -301,7 +301,7 @@ def _score(net: Net, win: np.ndarray, pre: dict, block: int = 1024) -> np.ndarra
 class Scorer:
     """Scores texts; the gates' input parts of known words are kept."""
 
-    def __init__(self, net: Net, most: int = 150_000):
+    def __init__(self, net: Net, most: int = 60_000):
         self.net, self.reader, self.most = net, Reader(most), most
         self.clear()
 
