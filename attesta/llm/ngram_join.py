@@ -17,7 +17,7 @@ Large groups are never expanded into pairs: documents with equal sets are one no
 one hub, the node of the posting lists that they share whose prefix is the most common (of a group of near copies the
 one with the fewest shingles of its own), verified and joined into components (twice, the second time with hubs of
 other components); then only pairs of nodes that are still in different components are
-candidates, in full. Components are found by alternating large-star and
+candidates, in full. No pair is verified twice, and only sets of nodes in pairs are made. Components are found by alternating large-star and
 small-star steps over tables in the shared folder.
 
 Edge cases: texts without words (or null) have no shingles and link with nothing; texts of fewer than 5 words have
@@ -199,12 +199,34 @@ def with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by their whole sets."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    """The pairs (a, b) of a saved table whose sets are similar enough, by their whole sets. Sets in no pair aren't
+    shuffled, unless the pairs have more than BROADCAST_IDS nodes on that side."""
+    both = pairs
+    for side in "ba":
+        ids = pairs.select(side).distinct()
+        own = sets.select(F.col("node").alias(side), F.col("s").alias(f"s{side}"))
+        both = both.join(own.join(F.broadcast(ids), side, "left_semi") if ids.count() <= BROADCAST_IDS else own, side)
     both = both.withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * PERCENT).select("a", "b")
 
 
+def linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    """verified() pairs, saved; the sets of their nodes, and of no others, are made anew from the texts for it."""
+    ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{label}-ends")
+    sets = saved(sets_of(with_ids(texts, ends)), f"{label}-sets")
+    found = saved(verified(pairs, sets), f"{label}-links")
+    forget(ends, sets)
+    return found
+
+
+def untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) that stand in none of the tables tested, in either order."""
+    for t in tested:
+        t = t.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+        pairs = pairs.join(t, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+    return pairs
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for the nodes of edges (a, b)."""
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
@@ -239,19 +261,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = table.where("doc_id is not null and n > 0")
     # equal sets are one node, the smallest of their ids
     groups = full.groupBy("key").agg(F.min("doc_id").alias("node"))
-    firsts = full.join(groups.select(F.col("node").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
+    copies = saved(full.select("doc_id", "key").join(full.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last"), "key").where("doc_id > node").select("doc_id", "key").distinct(), "ngram-copies")
+    firsts = full.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc_id", "key"], "left_anti")
     posts = firsts.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("node"), "n", "l", "common")
     of_token = Window.partitionBy("token")
     posts = posts.withColumn("hub", F.min(F.struct((-F.col("common")).alias("rare"), "node", "n", "l")).over(of_token)).withColumn("c", F.count(F.lit(1)).over(of_token))
     posts = saved(posts.where("c > 1").select("token", "pos", "node", "n", "l", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.l").alias("hub_l")), "ngram-posts")
     fits = similar_sizes("n", "hub_n")
-    # the sets of all nodes that share a list with a node of similar size, made anew from the texts
-    lone = Window.partitionBy("token").orderBy("n")
-    near = F.coalesce(similar_sizes("n", "before"), F.lit(False)) | F.coalesce(similar_sizes("n", "after"), F.lit(False))
-    active = posts.withColumn("before", F.lag("n").over(lone)).withColumn("after", F.lead("n").over(lone)).where(near)
-    sets = saved(sets_of(with_ids(known, saved(active.select("node").distinct(), "ngram-active"))), "ngram-sets")
     # stars: every node with that hub of its lists, still in another component, which it shares most lists with
-    roots, links = None, None
+    roots, links, tested = None, None, []
     for turn in range(STARS):
         here = posts.where("node <> hub").where(fits)
         if roots is not None:
@@ -259,9 +277,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             here = here.join(at.select(F.col("x").alias("node"), F.col("root").alias("rn")), "node", "left").join(at.select(F.col("x").alias("hub"), F.col("root").alias("rh")), "hub", "left")
             here = here.where(F.coalesce("rn", "node") != F.coalesce("rh", "hub"))
         stars = here.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("l", "hub_l")).alias("need")).where("c >= need")
-        best = stars.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("x"))
-        found = verified(saved(best.select((-F.col("x.h")).alias("a"), "b"), f"ngram-star{turn}"), sets)
-        links = saved(found if links is None else links.unionByName(found), f"ngram-links{turn}")
+        stars = untested(stars.select(F.col("hub").alias("a"), F.col("node").alias("b"), "c"), tested)
+        best = stars.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("h"))).alias("x"))
+        pairs = saved(best.select((-F.col("x.h")).alias("a"), "b"), f"ngram-star{turn}")
+        tested.append(pairs)
+        found = linked(pairs, known, f"ngram-star{turn}")
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
     # all candidates in different components
     lists = posts.select("token", "pos", "node", "n", "l").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -281,10 +302,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # what they can share beyond the last common prefix token
     most = F.col("c") + F.least(F.col("n_a") - 1 - F.col("at_a"), F.col("n_b") - 1 - F.col("at_b"))
     cross = cross.where("c >= need").where(most * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT)
-    pairs = saved(cross.select("a", "b"), "ngram-cross")
-    forget(posts)
-    more = saved(verified(pairs, sets), "ngram-more")
-    forget(pairs, lists, sets)
+    pairs = saved(untested(cross.select("a", "b"), tested), "ngram-cross")
+    forget(posts, lists, copies)
+    more = linked(pairs, known, "ngram-cross")
+    forget(pairs, *tested)
     # components of components
     at = roots.withColumnRenamed("node", "x")
     lifted = more.join(at.select(F.col("x").alias("a"), F.col("root").alias("ra")), "a", "left").join(at.select(F.col("x").alias("b"), F.col("root").alias("rb")), "b", "left")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.llm import exact_dedup, ivf_pq, license_scan, merge_dropout, mixing, ngram_join, quality, token_file, toxicity, url_rules
+from attesta.llm import common, exact_dedup, ivf_pq, license_scan, merge_dropout, mixing, ngram_join, quality, token_file, toxicity, url_rules
 from attesta.llm.queries import PIECE_MODEL, RULES, WORD_TOKENIZER
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp long, s string"
@@ -508,6 +509,53 @@ def test_empty_pages(spark):
     assert url_rules.filter_urls(spark.createDataFrame([], "page_id long, url string, rule string, verdict string, pid long").select("page_id", "url"), RULES).count() == 0
 
 
+def shuffled(spark) -> dict[str, int]:
+    """Bytes of the shuffle files that there are, by their names."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_a_saved_table_leaves_no_shuffle_files(spark):
+    common.saved(spark.range(10).groupBy("id").count(), "warm-up")
+    before = shuffled(spark)
+    many = spark.range(50_000).withColumn("k", F.col("id") % 999)
+    out = common.saved(many.repartition(3, "k").join(many.groupBy("k").count().hint("merge"), "k"), "shuffled")
+    for _ in range(50):
+        if not (left := shuffled(spark).keys() - before.keys()):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 50_000 and spark.conf.get(common.CLEANUP) == "false"
+
+
+def test_ngram_join_shuffles_only_sets_of_pairs(spark):
+    sets = common.saved(spark.range(3000).select(F.col("id").alias("node"), F.expr("transform(sequence(1, 200), i -> xxhash64(i, id div 2))").alias("s")), "sets")
+    pairs = common.saved(spark.createDataFrame([(0, 1), (0, 2), (8, 9)], "a long, b long"), "pairs")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = ngram_join.verified(pairs, sets).collect()
+        made = sum(n for name, n in shuffled(spark).items() if name not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, got)) == [(0, 1), (8, 9)] and 0 < made < 500_000  # of 4,800,000 bytes of sets
+
+
+def test_ngram_join_verifies_no_pair_twice(spark, monkeypatch):
+    seen, sizes, kept = [], [], ngram_join.verified
+
+    def spy(pairs, sets):
+        seen.extend(tuple(sorted(r)) for r in pairs.select("a", "b").collect())
+        sizes.append((sets.select("node").distinct().count(), len({x for r in pairs.collect() for x in (r.a, r.b)})))
+        return kept(pairs, sets)
+
+    monkeypatch.setattr(ngram_join, "verified", spy)
+    common_part = [f"c{i}" for i in range(60)]
+    texts = [" ".join([*common_part, *(f"u{k}x{i}" for i in range(40))]) for k in range(12)] + near_copies(60)  # 12 share 43 % at most
+    assert ngram_join.ngram_join(docs(spark, texts)).count() == len(texts)
+    assert seen and len(seen) == len(set(seen)) and all(a == b for a, b in sizes)
+
+
 def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     rounds = []
     kept = ngram_join.saved
