@@ -284,6 +284,26 @@ def test_ivf_finds_the_first_of_many_copies(spark):
     assert len(hit[True]) + len(hit[False]) == 325 and np.mean(hit[True]) == 1 and np.mean(hit[False]) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["clusters", "queries apart", "large"])
+def test_ivf_recall_on_other_rows(spark, kind):
+    """Neighbours of one list, queries unlike most vectors, and products beyond single precision, with a sample of fewer rows than there are."""
+    r, n = np.random.default_rng(8), 4000
+    x, part = r.standard_normal((n, 32)), np.arange(n) % 20 == 0
+    if kind == "clusters":
+        x = r.standard_normal((12, 32))[r.integers(12, size=n)] + 0.05 * x
+    elif kind == "queries apart":
+        x[part] = r.standard_normal((2, 32))[r.integers(2, size=part.sum())] + 0.05 * x[part]
+    else:
+        x *= 1e25
+    got = ivf_pq.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), sample=2000).toPandas()
+    hit = []
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit.append(len(set(np.argsort(-s)[:20]) & set(g.vec_id)) / 20)
+    assert len(hit) == 200 and len(got) == 4000 and np.mean(hit) >= 0.93
+
+
 def test_licenses(spark):
     t = license_scan.TEMPLATES
     texts = [f"{LONG} {t['mit']}", f"x {t['gpl-3.0']} y {t['gpl-3.0']}", t["apache-2.0"].upper(), "This work is licensed under the GNU Public License, version 3.", "the license of MIT", *ODD]
