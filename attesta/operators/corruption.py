@@ -96,35 +96,47 @@ def corrupt_website(value: Column, kind: str, key: Column, seed: int = 42) -> Co
     raise ValueError(f"no such malformation of a website: {kind}")
 
 
-def corrupt_range(tag: str, kind: str, key: Column, seed: int = 42) -> Column:
-    """A number outside the tag's range, as text."""
+def corrupt_range(tag: str, kind: str, key: Column, seed: int = 42, value: Column | None = None) -> Column:
+    """A number outside the tag's range, as text; the next one further out, where it is the one that the text `value` holds."""
+    own, out = None if value is None else rules.number(value), 1 if kind == "far_above_maximum" else -1
     low, high = map(float, rules.VALUE_RANGES[tag])
     if kind == "negative":
-        value = F.lit(-abs(low) if low <= 0 else 0.0) - (1 + pick(500, key, seed, "below"))
+        made = F.lit(-abs(low) if low <= 0 else 0.0) - (1 + pick(500, key, seed, "below"))
     elif kind == "far_above_maximum":
-        value = F.lit(high) * (3 + pick(38, key, seed, "times")) + (1 + pick(99, key, seed, "more"))
+        made = F.lit(high) * (3 + pick(38, key, seed, "times")) + (1 + pick(99, key, seed, "more"))
     elif kind == "zero_where_positive":
-        value = F.lit(0.0) if low > 0 else F.lit(low) - (1 + pick(50, key, seed, "below"))
+        made = F.lit(0.0) if low > 0 else F.lit(low) - (1 + pick(50, key, seed, "below"))
     else:
         raise ValueError(f"no such corruption of a number: {kind}")
-    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    made = made if own is None else F.when(own == made, made + out).otherwise(made)
+    return F.when(made == F.floor(made), F.floor(made).cast("string")).otherwise(made.cast("string"))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once a row however often it is used, in lambdas above all."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def calling_code(value: Column, known: Column) -> Column:
     """The longest calling code of the array `known` that an international number begins with, else null."""
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    fits = F.filter(known, lambda c: F.startswith(digits, c.cast("string")))
-    return F.when(F.startswith(rules.strip(value), F.lit("+")), F.array_max(F.transform(fits, lambda c: F.struct(F.length(c.cast("string")).alias("n"), c.cast("int").alias("c"))))["c"])
+    fits = lambda digits: F.filter(known, lambda c: F.startswith(digits, c.cast("string")))
+    longest = lambda codes: F.array_max(F.transform(codes, lambda c: F.struct(F.length(c.cast("string")).alias("n"), c.cast("int").alias("c"))))["c"]
+    return F.when(F.startswith(rules.strip(value), F.lit("+")), once(F.regexp_replace(value, "[^0-9]", ""), lambda digits: longest(fits(digits))))
 
 
 def corrupt_calling_code(value: Column, known: Column, key: Column, seed: int = 42) -> Column:
     """Another calling code in place of the number's own; all other characters stay. Null without a readable code."""
-    v, own = rules.strip(value), calling_code(value, known)
-    others = F.array_sort(F.filter(known, lambda c: c.cast("int") != own))
-    new = F.get(others, pick(F.greatest(F.size(others), F.lit(1)), key, seed, "code"))
-    own_text, plus = own.cast("string"), F.instr(v, "+")
-    at = plus + F.instr(F.substring(v, plus + 1, F.length(v)), own_text)
-    return F.concat(F.substring(v, F.lit(1), at - 1), new.cast("string"), F.substring(v, at + F.length(own_text), F.length(v)))
+    parts = F.struct(rules.strip(value).alias("v"), calling_code(value, known).alias("own"))
+
+    def changed(p: Column) -> Column:
+        v, own = p["v"], p["own"]
+        others = F.sort_array(F.filter(known, lambda c: c.cast("int") != own))
+        new = once(others, lambda o: F.get(o, pick(F.greatest(F.size(o), F.lit(1)), key, seed, "code")))
+        own_text, plus = own.cast("string"), F.instr(v, "+")
+        at = plus + F.instr(F.substring(v, plus + 1, F.length(v)), own_text)
+        return F.concat(F.substring(v, F.lit(1), at - 1), new.cast("string"), F.substring(v, at + F.length(own_text), F.length(v)))
+
+    return once(parts, changed)
 
 
 def corrupt_with_donor(original: Column, donor: Column) -> Column:

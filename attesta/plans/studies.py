@@ -37,7 +37,7 @@ def corruption_flags(spark, d):
         if "c_phone" in t(spark, d, "customer").columns
         else each("phone", t(spark, d, "customer"), F.concat(F.lit("+90 232 "), (c("c_custkey") % 900000 + 100000).cast("string")), c("c_custkey"), c("c_custkey"), corruption.PHONE_KINDS, corruption.corrupt_phone, rules.phone_syntax),
         each("opening_hours", t(spark, d, "events"), hours, c("event_id"), F.floor(c("event_id") / 5), corruption.HOURS_KINDS, corruption.corrupt_hours, rules.opening_hours_syntax),
-        *(each(tag, t(spark, d, "part"), c("p_size").cast("string"), c("p_partkey"), c("p_partkey"), corruption.RANGE_KINDS, lambda v, k, key, tag=tag: corruption.corrupt_range(tag, k, key), ranged(tag)) for tag in ("stars", "level")),
+        *(each(tag, t(spark, d, "part"), c("p_size").cast("string"), c("p_partkey"), c("p_partkey"), corruption.RANGE_KINDS, lambda v, k, key, tag=tag: corruption.corrupt_range(tag, k, key, value=v), ranged(tag)) for tag in ("stars", "level")),
     ]
     both = rows[0]
     for r in rows[1:]:
