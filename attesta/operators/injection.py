@@ -33,16 +33,28 @@ def donor_pool(records: DataFrame, group: str, dictionary: Column | None = None)
 
 def drawn_donors(records: DataFrame, pool: DataFrame, key: str, group: str, fits: Column, seed: int = 42, tries: int = TRIES) -> DataFrame:
     """(key, donor columns): of a record's keyed tries into its group's pool the first that fits; records that none of
-    `tries` fits have none. Each try is one join row, so no group is paired with itself. Columns of the pool but `group`
-    must not be among the records'."""
+    `tries` fits have none. Each try is one join row, so no group is paired with itself, and a round's few tries are only made
+    for records without a donor yet. Columns of the pool but `group` must not be among the records'."""
     numbered = pool.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy("donor")) - 1)
     size = pool.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
-    asked = records.join(size, group).withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
     told = F.md5(F.concat_ws(":", F.lit(str(seed)), "_try", F.col(key).cast("string")).cast("binary"))
-    asked = asked.withColumn("_at", F.conv(F.substring(told, 1, 8), 16, 10).cast("long") % F.col("_size"))
     own = [c for c in pool.columns if c != group]
-    found = asked.join(numbered, [group, "_at"]).where(fits).groupBy(key).agg(F.min_by(F.struct(*own), "_try").alias("d"))
-    return found.select(key, "d.*")
+    left, found, begin = records.join(size, group), [], 0
+    while True:
+        end = min(tries, 3 * begin + 1)
+        asked = left.withColumn("_try", F.explode(F.sequence(F.lit(begin), F.lit(end - 1))))
+        asked = asked.withColumn("_at", F.conv(F.substring(told, 1, 8), 16, 10).cast("long") % F.col("_size"))
+        found.append(asked.join(numbered, [group, "_at"]).where(fits).groupBy(key).agg(F.min_by(F.struct(*own), "_try").alias("d")).localCheckpoint())
+        if end == tries:
+            break
+        left = left.join(found[-1].select(F.col(key).alias("_done")), F.col(key).eqNullSafe(F.col("_done")), "left_anti").localCheckpoint()
+        if left.isEmpty():
+            break
+        begin = end
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
+    return all_.select(key, "d.*")
 
 
 def name_donors(records: DataFrame, pool: DataFrame, key: str, group: str, km: float = DONOR_KM, seed: int = 42) -> DataFrame:
