@@ -168,3 +168,91 @@ def test_triage_of_large_pools():
 def test_triage():
     p = hypergeometric(50, 10, 20)
     assert math.isclose(sum(p), 1) and random_triage(50, 10, 20)[0] == 4
+
+
+def test_far_counts(spark):
+    points = spark.range(500).select((F.col("id") % 3).alias("g"), ((F.col("id") * 97 % 1801) / 10.0 - 90).alias("lat"), ((F.col("id") * 53 % 3601) / 10.0 - 180).alias("lon"))
+    points = points.unionAll(points.limit(40)).unionAll(spark.createDataFrame([(0, None, 1.0), (7, 1.0, 1.0)], points.schema))
+    places = points.select("g", (F.col("lat") * 0.9).alias("p_lat"), (-F.col("lon")).alias("p_lon"))
+    for km in (0, 300, 2000, 15_000, 20_100):
+        want = {r.g: r["count"] for r in spatial.far_places(points, places, km, "g").groupBy("g").count().collect()}
+        assert {r.g: r.n for r in spatial.far_counts(points, places, km, "g").collect()} == want
+
+
+def crowd(spark, n):
+    """Points and places of whom each would meet all others within 400 km."""
+    at = lambda a, b: ((F.col("id") * a % 997 / 997).alias("lat"), (F.col("id") * b % 991 / 991).alias("lon"))
+    points = spark.range(n).select("id", *at(389, 577))
+    return points, spark.range(n).select(F.col("id").alias("place_id"), *(c.alias(x) for c, x in zip(at(211, 757), ("p_lat", "p_lon"), strict=True)))
+
+
+def test_closest_meets_few(spark, monkeypatch):
+    """The rows that a search meets grow with the points, not with points times places, for groups, too."""
+    met, real = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *a, **k: met.append(real(*a, **k)) or met[-1])
+    points, places = crowd(spark, 2000)
+    both = points.crossJoin(places).withColumn("km", spatial.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
+    want = {r.id: [x.place_id for x in r.m] for r in both.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("km", "place_id"))), 1, 3).alias("m")).collect()}
+    got = {}
+    for r in spatial.topk_near(points, places, 400, "id", 3, "place_id").orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.place_id)
+    assert got == want
+    assert {r.id: r.place_id for r in spatial.nearest(points, places, "id").collect()} == {i: m[0] for i, m in want.items()}
+    named = places.select("place_id", "p_lat", "p_lon", F.array(F.lit("same"), F.concat(F.lit("name "), F.col("place_id") % 5)).alias("names"))
+    found = spatial.place_match(points.withColumn("name", F.lit("same")), named, -1, "id")
+    assert {r.id: r.place_id for r in found.collect()} == {i: m[0] for i, m in want.items()}
+    assert sum(m.count() for m in met) < 60 * 2000
+
+
+def test_place_match_ties_and_odd_rows(spark):
+    records = spark.createDataFrame([(1, "name", 0.0, 10.0), (2, "name", 80.0, 0.0), (3, "none", 0.0, 0.0), (4, "name", None, 0.0), (5, "abc", 0.0, 0.0)], "id int, name string, lat double, lon double")
+    places = spark.createDataFrame([(9, ["name", "abc"], 0.0, 9.3), (8, ["name"], 0.0, 10.7), (7, ["name"], None, 10.0), (6, ["name", "name"], -80.0, 180.0)], "place_id int, names array<string>, p_lat double, p_lon double")
+    got = {r.id: (r.place_id, round(r.distance_km, 3)) for r in spatial.place_match(records, places, 25, "id", digits=9).collect()}
+    assert set(got) == {1, 2, 4} and got[4] == (6, 20015.114) and got[1] == (8, 77.837) and got[2][0] in (8, 9)
+    assert spatial.place_match(records, places.limit(0), 25, "id").count() == 0
+
+
+def test_range_corruptions_change_the_value(spark):
+    from attesta.functions import rules
+    from attesta.operators import corruption
+
+    for tag, kind in (("stars", "far_above_maximum"), ("level", "negative")):
+        plain = spark.range(100).select("id", corruption.corrupt_range(tag, kind, F.col("id")).alias("a"))
+        rows = plain.select("a", corruption.corrupt_range(tag, kind, F.col("id"), value=F.col("a")).alias("b")).collect()
+        low, high = rules.VALUE_RANGES[tag]
+        assert all(r.a != r.b and not low <= float(r.b) <= high for r in rows)
+
+
+def test_calling_code_is_found_once_a_row(spark):
+    """Nothing of a row's own, such as its digits, is worked out anew for each known code."""
+    from attesta.operators import corruption
+
+    known = F.array(*(F.lit(k) for k in range(1, 200, 7)))
+    df = spark.range(1).select(corruption.calling_code(F.concat(F.lit("+"), F.col("id")), known).alias("a"), corruption.corrupt_calling_code(F.concat(F.lit("+15 "), F.col("id")), known, F.col("id")).alias("b"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("[^0-9]") == 2 and df.first().a is None and df.first().b.endswith(" 0")
+
+
+def test_donor_tries_are_made_as_needed(spark):
+    from attesta.operators import injection
+
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def fits(key, donor):
+        n.add(1)
+        return key != donor and (key % 10 != 0 or donor % 40 == 7)
+
+    records = spark.range(2000).select("id", (F.col("id") % 2).alias("g"))
+    pool = records.select("g", F.col("id").alias("donor"))
+    got = {r.id: r.donor for r in injection.drawn_donors(records, pool, "id", "g", fits(F.col("id"), F.col("donor")).eqNullSafe(True)).collect()}
+    import hashlib
+
+    groups = [list(range(g, 2000, 2)) for g in (0, 1)]
+    want = {}
+    for i in range(2000):
+        for k in range(injection.TRIES):
+            d = groups[i % 2][int(hashlib.md5(f"42:{k}:{i}".encode()).hexdigest()[:8], 16) % 1000]
+            if i != d and (i % 10 or d % 40 == 7):
+                want.setdefault(i, d)
+    assert got == want and n.value < 4 * (2000 + 24 * 200)
